@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeline.io import table
-from tapeline.llm import copies, glyphs, language, mixing, targets
+from tapeline.llm import consensus, copies, glyphs, language, leakage, mixing, targets, truncation
 
 
 def _records(spark: SparkSession, sf: str) -> DataFrame:
@@ -65,6 +65,36 @@ def p6_report(spark: SparkSession, sf: str) -> DataFrame:
     return glyphs.confusable_report(table(spark, sf, "headlines"), "title")
 
 
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    items, usable = consensus.consensus(table(spark, sf, "annotation_labels"))
+    return consensus.answers(items, consensus.reliability(usable, items))
+
+
+def p7_items(spark: SparkSession, sf: str) -> DataFrame:
+    """The consensus of every item: criticism, category, intensity."""
+    items, usable = consensus.consensus(table(spark, sf, "annotation_labels"))
+    scores = consensus.intensity(usable, items, consensus.reliability(usable, items))
+    return items.join(scores, "item", "left").select("item", "yes", "no", "truth", "category", "intensity")
+
+
+def p7_annotators(spark: SparkSession, sf: str) -> DataFrame:
+    items, usable = consensus.consensus(table(spark, sf, "annotation_labels"))
+    return consensus.reliability(usable, items)
+
+
+def p7_agreement(spark: SparkSession, sf: str) -> DataFrame:
+    return consensus.agreement(consensus.consensus(table(spark, sf, "annotation_labels"))[1])
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return leakage.find_leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+
+
+def p8_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Per item that leaked, the number of documents that hold some of it."""
+    return p8_found(spark, sf).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"))
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.shortfalls(spark, mixing.plan_mixtures(mixing.measured(table(spark, sf, "documents")), table(spark, sf, "mix_targets")))
 
@@ -83,5 +113,13 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.shares(*_mixture(spark, sf))
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_records, p2_found, p2_sample, p3_found, p3_parts, p6_found, p6_titles, p6_report, p9_found, p9_mixture, p9_shares)}
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return truncation.truncated(table(spark, sf, "documents"))
+
+
+def p10_rates(spark: SparkSession, sf: str) -> DataFrame:
+    return truncation.rates(table(spark, sf, "documents"))
+
+
+QUERIES = {q.__name__: q for q in (p1_found, p1_records, p2_found, p2_sample, p3_found, p3_parts, p6_found, p6_titles, p6_report, p7_found, p7_items, p7_annotators, p7_agreement, p8_found, p8_items, p9_found, p9_mixture, p9_shares, p10_found, p10_rates)}
 SQL: dict[str, str] = {}
