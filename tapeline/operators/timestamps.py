@@ -68,6 +68,6 @@ def resolved(df: DataFrame, column: str, kind: str) -> Column:
     value = F.col(f"`{column}`")
     odd = F.when(~value.rlike(PLAIN[kind]), value)
     if kind == "local_day":
-        return F.coalesce(F.when(value.rlike(PLAIN[kind]) & F.try_to_date(value, F.lit("yyyy-MM-dd")).isNotNull(), value), ny_day(odd))
+        return F.coalesce(F.when(value.rlike(PLAIN[kind]) & F.try_to_date(value, "yyyy-MM-dd").isNotNull(), value), ny_day(odd))
     plain = F.try_to_timestamp(F.when(value.rlike(PLAIN[kind]), value), F.lit("yyyyMMddHHmmss"))
     return F.coalesce(F.date_format(plain, "yyyy-MM-dd HH:mm:ss"), utc_second(odd))
