@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapeline.config import ALL_MARKET, CANDIDATE, CATEGORIES, CRITICISM_TERMS, END_DATE, ETFS, HORIZONS, START_DATE, VIX, VOL_WINDOW
@@ -164,7 +164,12 @@ def event_study(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ols_hac(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(regress.regressions(spark, cut_lineage(_panel(spark, sf)), ZSCORE))
+    """The nine regressions, on series whose gaps carry the last price forward: a complete row needs 22 days without one."""
+    full = prices.grid(_series(spark, sf), PANEL_SYMBOLS)
+    last = Window.partitionBy("symbol").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    filled = full.select("date", "symbol", F.last("price", ignorenulls=True).over(last).alias("price"))
+    panel = prices.build_panel(_order_index(spark, sf), filled, PANEL_SYMBOLS, strict=False)
+    return rounded(regress.regressions(spark, cut_lineage(panel), ZSCORE))
 
 
 def ols_simple(spark: SparkSession, sf: str) -> DataFrame:
