@@ -18,8 +18,8 @@ _BREAK = "\x1f"
 
 
 def canonical(value: Column) -> Column:
-    """A text without letter case, blanks and punctuation. Upper case first, so that a lone ß meets its capitals."""
-    return F.regexp_replace(F.lower(F.upper(value)), _NOISE, "")
+    """A text without letter case, blanks and punctuation. A ß is what its capitals are, ss."""
+    return F.regexp_replace(F.replace(F.lower(value), F.lit("ß"), F.lit("ss")), _NOISE, "")
 
 
 def is_blank(value: Column) -> Column:
