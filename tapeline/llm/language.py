@@ -36,7 +36,7 @@ TEXT_ROWS = 4_000
 #: Tokens that must speak for a language before a part of a title is taken to be in it, and what a cut must gain.
 LEAST_TOKENS = 2
 LEAST_LENGTH = 3
-LEAST_GAIN = 115.0
+LEAST_GAIN = 120.0
 #: By how much the loss of one language must be below another's for a token to speak for it.
 CLEAR = 4.0
 #: Words seen so often in the sample count as whole words (firms' names then speak for no language, as they

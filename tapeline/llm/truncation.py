@@ -38,6 +38,10 @@ def _mask(value: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(names, r"[.!?…\"')\]*\s]+\z", ""), r"\s+", " "))
 
 
+def _last_word(piece: Column) -> Column:
+    return F.substring_index(F.rtrim(piece, F.lit(" .!?…\"”»’')]")), " ", -1)
+
+
 def _unclosed(text: Column) -> Column:
     """Whether an inline tag is opened more often than closed."""
     out = F.lit(False)
@@ -51,14 +55,14 @@ def split_documents(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     raw = F.col("text")
     body = F.regexp_replace(F.rtrim(raw), _MARK, "")
     rows = documents.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).filter(F.col("text").rlike(r"\S"))
-    rows = rows.select("doc_id", "text", F.regexp_replace(body, r"(?m)^\s*[0-9]{1,3}[.)]\s+", "").alias("body"), (body != F.rtrim(raw)).alias("marked"), raw.rlike(_COUNTED).alias("counted"))
+    rows = rows.select("doc_id", "text", F.regexp_replace(body, r"(?m)^\s*[0-9]{1,3}[.)]\s+", "").alias("body"), (body != F.rtrim(raw)).alias("marked"), raw.rlike(_COUNTED).alias("counted"), F.endswith(F.rtrim(raw), F.lit("\ufffd")).alias("torn"))
     last_line = F.element_at(F.split("body", _BREAK), -1)
     return rows.select(
         "doc_id",
         F.split("body", _SENTENCE + "|" + _BREAK).alias("pieces"),
         "marked",
         "counted",
-        (F.col("body").rlike(_BROKEN_MARKUP) | _unclosed(F.col("body"))).alias("broken"),
+        (F.col("body").rlike(_BROKEN_MARKUP) | _unclosed(F.col("body")) | F.col("torn")).alias("broken"),
         (F.size(F.split(last_line, _SENTENCE)) > 1).alias("mid_line"),
         (F.size(F.split("body", _BREAK)) > 1).alias("later_line"),
         F.col("body").rlike(_TERMINATED).alias("ended"),
@@ -82,7 +86,7 @@ def judged(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     split = split_documents(documents, doc_id, text).persist(StorageLevel.MEMORY_AND_DISK)
     # masked pieces repeat a lot, so counting them combines map-side before anything is shuffled
     pieces = split.select(F.explode("pieces").alias("piece")).select(_mask(F.col("piece")).alias("piece"), F.col("piece").rlike(_STOPPED).cast("int").alias("stop")).filter("piece != ''").groupBy("piece").agg(F.count(F.lit(1)).alias("n"), F.sum("stop").alias("stopped")).persist(StorageLevel.MEMORY_AND_DISK)
-    last = split.withColumn("tail", _mask(F.element_at("pieces", -1))).drop("pieces").persist(StorageLevel.MEMORY_AND_DISK)
+    last = split.withColumn("tail", _mask(F.element_at("pieces", -1))).withColumn("word", _last_word(F.element_at("pieces", -1))).drop("pieces").persist(StorageLevel.MEMORY_AND_DISK)
     tails = last.filter("tail != ''").groupBy("tail").agg(F.count(F.lit(1)).alias("docs"))
     keyed = tails.select("tail", "docs", F.length("tail").alias("length")).withColumn("level", _level(F.col("length"))).withColumn("start", F.expr("substring(tail, 1, level)"))
     # at a level only the characters up to the next one tell tails apart: pieces that agree so far are one row
@@ -94,12 +98,17 @@ def judged(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         longer = found if longer is None else longer.unionByName(found)
     stats = tails.join(pieces.withColumnRenamed("piece", "tail").withColumnRenamed("n", "whole"), "tail").join(longer, "tail", "left").withColumn("longer", F.coalesce("longer", F.lit(0))).persist(StorageLevel.MEMORY_AND_DISK)
     known = attach(last.filter("tail != ''"), stats, ["tail"], "docs").drop("docs")
-    bare = last.filter("tail = ''").withColumns({k: F.lit(0).cast("long") for k in ("whole", "stopped", "longer")})
+    # after a mark, a sentence that is whole but for its last word: is that a word that sentences end with?
+    doubted = F.col("marked") & ~F.col("ended") & (F.col("stopped") * 2 >= F.col("whole"))
+    asked = known.filter(doubted).select("word").distinct()
+    ends = split.select(F.explode("pieces").alias("piece")).filter(F.col("piece").rlike(_STOPPED)).select(_last_word(F.col("piece")).alias("word")).join(asked, "word", "left_semi").distinct().withColumn("ends", F.lit(True))
+    known = known.join(ends, "word", "left").withColumn("half_word", doubted & F.col("ends").isNull()).drop("ends")
+    bare = last.filter("tail = ''").withColumn("half_word", F.lit(False)).withColumns({k: F.lit(0).cast("long") for k in ("whole", "stopped", "longer")})
     goes_on = (F.col("longer") > F.col("whole")) & ~(F.col("ended") & (F.col("longer") < 4 * F.col("whole")))
     # within a line every sentence has its full stop; on a line of its own one that has it everywhere else
     open_end = ~F.col("ended") & ~F.col("marked") & (F.col("mid_line") | (F.col("later_line") & (F.col("whole") >= 5) & (F.col("stopped") * 5 >= F.col("whole") * 4)))
     alone = (F.col("whole") <= 1) & ~F.col("ended") & F.col("mid_line")
-    return known.unionByName(bare).withColumn("cut", F.col("broken") | goes_on | open_end | alone | (F.col("counted") & ~F.col("ended")))
+    return known.unionByName(bare).withColumn("cut", F.col("broken") | goes_on | open_end | alone | F.col("half_word") | (F.col("counted") & ~F.col("ended")))
 
 
 def truncated(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

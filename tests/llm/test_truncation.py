@@ -5,6 +5,7 @@ from tapeline.llm import truncation
 SENTENCES = [
     "The company declined to comment on the figures for the year.", "Buyers have been cautious since the firm reported its numbers.", "Most of the gain came from chip stocks, while miners did very little.",
     "That view is not shared by everyone in the market.", "Margin debt is up by 12% over the quarter.", "Passive money keeps buying the largest names, whatever they cost.",
+    "The bank sold its shares on Monday.",
 ]
 CLOSERS = ["Updated 16:05 ET", "Corrections: none", "Tags: chip stocks, miners", "(ends)", "***", "More on this story later…", "- SPY +0.4%"]
 
@@ -18,12 +19,12 @@ def corpus():
     return rows
 
 
-CUT = ["Buyers have been cautious since the fi", "Margin debt is up by 12% over…", "Most of the gain came from chip stocks, while [+230 chars]", "The company declined...", "Passive money keeps buying <a href=", "Passive money keeps &am", "<b>That view is not shared by everyone in the market.", "That view is not shar�", "Margin debt is up by 12"]
+CUT = ["Buyers have been cautious since the fi", "Margin debt is up by 12% over…", "Most of the gain came from chip stocks, while [+230 chars]", "The company declined...", "Passive money keeps buying <a href=", "Passive money keeps &am", "<b>That view is not shared by everyone in the market.", "That view is not shar�", "Margin debt is up by 12", "The bank sold its shares on Mond…"]
 
 
 def test_planted_cuts(spark):
     rows = corpus()
-    bad = [(1000 + i, SENTENCES[i % 6] + (" " if i % 2 else "\n\n") + c) for i, c in enumerate(CUT)]
+    bad = [(1000 + i, SENTENCES[i % 5] + (" " if i % 2 else "\n\n") + c) for i, c in enumerate(CUT)]
     good = [(2000, None), (2001, ""), (2002, "  "), (2003, SENTENCES[0] * 400), (2004, SENTENCES[1]), (2005, SENTENCES[1])]
     df = spark.createDataFrame(rows + bad + good, "doc_id long, text string").selectExpr("*", "1 as tail", "2 as body", "3 as whole", "'S ' as source")
     assert {r.doc_id for r in truncation.truncated(df).collect()} == {i for i, _ in bad}
