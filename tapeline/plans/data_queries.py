@@ -37,4 +37,25 @@ def p5_prices(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {"p4_found": p4_found, "p4_unresolved": p4_unresolved, "p5_found": p5_found, "p5_prices": p5_prices}
-SQL: dict[str, str] = {}
+_FIELD = r'("(?:[^"]|"")*"|[^",]*)'
+_LOOSE = _FIELD.replace("(", "(?:", 1)
+_WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def _cell(k: int) -> str:
+    raw = f"regexp_extract(l, '^{','.join([_FIELD] * 8)}$', {k})"
+    return f"trim(case when {raw} like '\"%' then replace({raw}[2:-2], '\"\"', '\"') else {raw} end, {_WHITE})"
+
+
+_DIAGNOSED = f"""with lines as (select line_id, regexp_replace(coalesce(line, ''), chr(13) || '$', '') as l from raw_price_lines),
+cells as (select *, regexp_full_match(l, '{_LOOSE}(,{_LOOSE})*') as quoted, len(string_split(regexp_replace(l, '"(?:[^"]|"")*"', '', 'g'), ',')) = 8 as eight,
+  {_cell(1)} as d, upper({_cell(2)}) as s, {_cell(6)} as c from lines),
+judged as (select line_id, d, case when s = 'VIX' then '^VIX' else s end as s, c, case when not quoted then 'quoting' when not eight then 'column_count'
+  when not regexp_full_match(d, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') or try_cast(d as date) is null then 'date'
+  when case when s = 'VIX' then '^VIX' else s end not in (select upper(trim(symbol)) from price_symbols) then 'symbol'
+  when not regexp_full_match(c, '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?') or not coalesce(try_cast(c as double) > 0 and try_cast(c as double) < 'infinity'::double, false) then 'close' end as reason from cells)"""
+
+SQL = {
+    "p5_found": f"{_DIAGNOSED} select line_id, reason from judged where reason is not null",
+    "p5_prices": f"{_DIAGNOSED} select line_id, strftime(cast(d as date), '%Y-%m-%d') as date, s as symbol, cast(c as double) as close from judged where reason is null",
+}
