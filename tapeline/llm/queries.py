@@ -122,4 +122,21 @@ def p10_rates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {q.__name__: q for q in (p1_found, p1_records, p2_found, p2_sample, p3_found, p3_parts, p6_found, p6_titles, p6_report, p7_found, p7_items, p7_annotators, p7_agreement, p8_found, p8_items, p9_found, p9_mixture, p9_shares, p10_found, p10_rates)}
-SQL: dict[str, str] = {}
+_CASES = " union all ".join(
+    f"select '{t}' as table_name, {i} as id, title, domain, seendate from {source}"
+    for t, i, source in (("headlines", "headline_id", "headlines"), ("raw_articles", "raw_id", "(select raw_id, json_extract_string(payload, '$.title') as title, json_extract_string(payload, '$.domain') as domain, json_extract_string(payload, '$.seendate') as seendate from raw_articles where json_valid(payload))"))
+)
+_KEYS = ", ".join(rf"regexp_replace(replace(lower({f}), 'ß', 'ss'), '[\s\p{{Z}}\p{{P}}\x1c-\x1f\x{{85}}]+', '', 'g') as k{n}" for n, f in enumerate(("title", "domain", "seendate")))
+_FILLED = " and ".join(rf"regexp_matches({f}, '[^\s\p{{Z}}\x1c-\x1f\x{{85}}]')" for f in ("title", "domain", "seendate"))
+_RECORDS = f"with cases as ({_CASES}), keyed as (select table_name, id, {_KEYS} from cases where {_FILLED}), firsts as (select *, min(id) over (partition by table_name, k0, k1, k2) as first_id from keyed)"
+_CATEGORY = lambda c: rf"coalesce(regexp_replace(regexp_replace(lower({c}), '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g'), '[-\s\p{{Z}}]', '_', 'g'), '')"
+
+#: The SQL of what SQL can say; the other queries are tested against brute force, round trips or held-out rows.
+SQL = {
+    "p1_found": f"{_RECORDS} select table_name, first_id, id as copy_id from firsts where id != first_id",
+    "p1_records": f"{_RECORDS} select table_name, first_id, count(*) as copies from firsts group by table_name, first_id, k0, k1, k2",
+    "p2_found": f"""with units as (select distinct pool_id, {_CATEGORY('sample_stratum')} as a, {_CATEGORY('query_type')} as b from annotation_pool where pool_id is not null),
+n as (select count(distinct pool_id) as n from units), have as (select a, b, count(*) as available from units group by a, b),
+need as (select *, {_CATEGORY('sample_stratum')} as a, {_CATEGORY('query_type')} as b, draw_pct * n // 100 as size from sample_targets, n)
+select distinct target_set, sample_stratum, query_type from need left join have using (a, b) where coalesce(available, 0) < greatest(min_rows, (target_pct * size + 99) // 100)""",
+}

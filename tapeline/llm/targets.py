@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 #: Units a pivotal block holds on average; larger groups are cut into more blocks.
 BLOCK = 50_000
-MAX_TARGETS = 100_000
+MAX_TARGETS = 5_000
 
 
 def category(value: Column) -> Column:
