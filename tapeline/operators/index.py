@@ -78,7 +78,9 @@ def match_labels(candidates: DataFrame, labels: DataFrame | None, order: str, st
     by_url = keyed.filter("url != ''").groupBy("url").agg(*one).filter("low = high").select(F.col("url").alias("_url"), F.col("low").alias("_by_url"))
     by_key = keyed.groupBy("day", "title_key", "domain_key").agg(*one).filter("low = high").select(F.col("day").alias("_day"), F.col("title_key").alias("_title"), F.col("domain_key").alias("_domain"), F.col("low").alias("_by_key"))
     day, title, domain = match_key(candidates)
-    rows = candidates.withColumns({"_url": F.nullif(strip(F.col("url")), F.lit("")), "_day": day, "_title": title, "_domain": domain})
+    # a blank URL matches nothing; as a key of its own it doesn't gather with the other blank ones in one task
+    url = F.coalesce(F.nullif(strip(F.col("url")), F.lit("")), F.concat(F.lit("\0"), F.col(order).cast("string")))
+    rows = candidates.withColumns({"_url": url, "_day": day, "_title": title, "_domain": domain})
     rows = rows.join(by_url, "_url", "left").join(by_key, ["_day", "_title", "_domain"], "left").withColumn("_label", F.coalesce("_by_url", "_by_key"))
     if strict:
         fail_on(rows.filter("_label.label = -1").select(order), lambda r: f"the label matched by {order} {r[0]} is not 0 or 1", order)
