@@ -17,29 +17,38 @@ from tapeline.llm.mixing import source_key
 from tapeline.plans.groups import attach
 
 #: Prefix lengths at which sentences are hashed; a text of n characters uses the largest that is not above n.
-LEVELS = (1, 4, 8, 16, 32, 64, 128)
+LEVELS = (1, 8, 24, 64)
 #: What systems put after a cut.
-_MARK = r"(?:\s*(?:…|\.\.\.+|\[(?:…|\.\.\.|\+?\s*[0-9]+ (?:more )?(?:chars|characters|words))\]|\((?:more|continued)\)|(?:Read|Show|See) more\W*|Continue reading\W*|�))+\s*\z"
-_SENTENCE = r"(?<=[.!?…][\"”»’')\]]{0,2})[ \t]+"
-_BREAK = r"\s*[\r\n]+\s*"
+_MARK = r"(?:\s*(?:…|\.\.\.+|\[(?:…|\.\.\.|\+?\s*[0-9]+ (?:more )?(?:chars|characters|words))\]|\((?:more|continued)\)|(?:Read|Show|See) more\W{0,20}|Continue reading\W{0,20}|�))+\s*\z"
+#: What the last characters of a text with such a mark hold; most texts have none of it and are spared the search.
+_HINT = r"[…\])�]|\.\.|more|reading"
+_SENTENCE_END = r"([.!?…][\"”»’')\]]{0,2})[ \t]+"
+_BREAK = r"[\r\n]\s*"
 _COUNTED = r"\[\+?\s*[0-9]+ (?:more )?(?:chars|characters|words)\]\s*\z"
-_STOPPED = r"[.!?][\"”»’')\]]*\s*\z"
+_STOPPED = r"(?<![.…])[.!?][\"”»’')\]]*\s*\z"
 _TERMINATED = r"[.!?…][\"”»’')\]*\s]*\z|[)\]*]\s*\z"
 #: A tag or a character reference that was not finished.
 _BROKEN_MARKUP = r"<[a-zA-Z/!][^<>]*\z|(?:^|[\s>\"“(])&#?[a-zA-Z0-9]{0,8}\z"
 _INLINE = ("a", "b", "i", "u", "em", "strong", "span", "q", "p", "li", "ul", "ol", "div", "blockquote")
 
 
-def _mask(value: Column) -> Column:
-    """Markup off, numbers as #, capitalised words as N, closing marks off: what makes sentences of a kind equal."""
-    plain = F.regexp_replace(F.regexp_replace(value, r"<[^<>]*>|&[a-zA-Z]{2,6};|&#[0-9]+;", ""), "[‘’ʼ]", "'")
-    plain = F.regexp_replace(plain, "[“”„«»\"]", '"')
+#: What closes a sentence or a line, and blanks: not part of what is compared.
+_CLOSING = ".!?…\"')]* \t\n\r\f\x0b\xa0"
+
+
+def _mask(text: Column) -> Column:
+    """Markup off, numbers as #, capitalised words as N: what makes sentences of a kind equal. For whole texts."""
+    plain = F.translate(F.regexp_replace(text, r"<[^<>\n]*>|&(?:[a-zA-Z]{2,6}|#[0-9]+);", ""), "‘’ʼ“”„«»", "'''\"\"\"\"\"")
     names = F.regexp_replace(F.regexp_replace(plain, r"[0-9]+(?:[.,][0-9]+)*", "#"), r"\p{Lu}[\p{L}\p{M}'&]*", "N")
-    return F.trim(F.regexp_replace(F.regexp_replace(names, r"[.!?…\"')\]*\s]+\z", ""), r"\s+", " "))
+    return F.regexp_replace(names, r"[ \t\xa0]{2,}|\t|\xa0", " ")
+
 
+def _bare(piece: Column) -> Column:
+    return F.trim(F.rtrim(piece, F.lit(_CLOSING)))
 
-def _last_word(piece: Column) -> Column:
-    return F.substring_index(F.rtrim(piece, F.lit(" .!?…\"”»’')]")), " ", -1)
+
+def _last_word(text: Column) -> Column:
+    return F.substring_index(F.translate(F.rtrim(text, F.lit(_CLOSING + "”»’")), "\t\n\r", "   "), " ", -1)
 
 
 def _unclosed(text: Column) -> Column:
@@ -51,20 +60,27 @@ def _unclosed(text: Column) -> Column:
 
 
 def split_documents(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, pieces, marked, counted, broken, mid_line, later_line, ended): a document's masked sentences and lines, the last one last."""
-    raw = F.col("text")
-    body = F.regexp_replace(F.rtrim(raw), _MARK, "")
+    """A row per document with text: its masked sentences and lines (the last one last), its last word, and marks.
+
+    marked: something stands after it that systems put after a cut; counted: with the number of what is missing;
+    broken: markup or a character is not finished; mid_line: the last sentence is not the first of its line;
+    later_line: there are lines before the last; ended: it ends as sentences do.
+    """
+    short = F.rtrim(F.col("text"), F.lit(" \t\n\r\f\x0b\xa0"))
+    body = F.when(F.right(short, F.lit(60)).rlike(_HINT), F.regexp_replace(short, _MARK, "")).otherwise(short)
     rows = documents.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).filter(F.col("text").rlike(r"\S"))
-    rows = rows.select("doc_id", "text", F.regexp_replace(body, r"(?m)^\s*[0-9]{1,3}[.)]\s+", "").alias("body"), (body != F.rtrim(raw)).alias("marked"), raw.rlike(_COUNTED).alias("counted"), F.endswith(F.rtrim(raw), F.lit("\ufffd")).alias("torn"))
-    last_line = F.element_at(F.split("body", _BREAK), -1)
+    rows = rows.select("doc_id", F.regexp_replace(body, r"(?m)^\s*[0-9]{1,3}[.)]\s+", "").alias("body"), (body != short).alias("marked"), short.rlike(_COUNTED).alias("counted"), F.endswith(short, F.lit("\ufffd")).alias("torn"))
+    rows = rows.withColumn("masked", _mask(F.col("body")))
+    rows = rows.withColumn("pieces", F.split(F.regexp_replace("masked", _SENTENCE_END, "$1\n"), _BREAK)).withColumn("lines", F.split("masked", _BREAK))
     return rows.select(
         "doc_id",
-        F.split("body", _SENTENCE + "|" + _BREAK).alias("pieces"),
+        "pieces",
+        _last_word(F.col("body")).alias("word"),
         "marked",
         "counted",
         (F.col("body").rlike(_BROKEN_MARKUP) | _unclosed(F.col("body")) | F.col("torn")).alias("broken"),
-        (F.size(F.split(last_line, _SENTENCE)) > 1).alias("mid_line"),
-        (F.size(F.split("body", _BREAK)) > 1).alias("later_line"),
+        (F.trim(F.element_at("lines", -1)) != F.trim(F.element_at("pieces", -1))).alias("mid_line"),
+        (F.size("lines") > 1).alias("later_line"),
         F.col("body").rlike(_TERMINATED).alias("ended"),
     )
 
@@ -85,8 +101,8 @@ def judged(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """
     split = split_documents(documents, doc_id, text).persist(StorageLevel.MEMORY_AND_DISK)
     # masked pieces repeat a lot, so counting them combines map-side before anything is shuffled
-    pieces = split.select(F.explode("pieces").alias("piece")).select(_mask(F.col("piece")).alias("piece"), F.col("piece").rlike(_STOPPED).cast("int").alias("stop")).filter("piece != ''").groupBy("piece").agg(F.count(F.lit(1)).alias("n"), F.sum("stop").alias("stopped")).persist(StorageLevel.MEMORY_AND_DISK)
-    last = split.withColumn("tail", _mask(F.element_at("pieces", -1))).withColumn("word", _last_word(F.element_at("pieces", -1))).drop("pieces").persist(StorageLevel.MEMORY_AND_DISK)
+    pieces = split.select(F.explode("pieces").alias("piece")).select(_bare(F.col("piece")).alias("piece"), F.col("piece").rlike(_STOPPED).cast("int").alias("stop")).filter("piece != ''").groupBy("piece").agg(F.count(F.lit(1)).alias("n"), F.sum("stop").alias("stopped")).persist(StorageLevel.MEMORY_AND_DISK)
+    last = split.withColumn("tail", _bare(F.element_at("pieces", -1))).drop("pieces").persist(StorageLevel.MEMORY_AND_DISK)
     tails = last.filter("tail != ''").groupBy("tail").agg(F.count(F.lit(1)).alias("docs"))
     keyed = tails.select("tail", "docs", F.length("tail").alias("length")).withColumn("level", _level(F.col("length"))).withColumn("start", F.expr("substring(tail, 1, level)"))
     # at a level only the characters up to the next one tell tails apart: pieces that agree so far are one row
@@ -101,7 +117,9 @@ def judged(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     # after a mark, a sentence that is whole but for its last word: is that a word that sentences end with?
     doubted = F.col("marked") & ~F.col("ended") & (F.col("stopped") * 2 >= F.col("whole"))
     asked = known.filter(doubted).select("word").distinct()
-    ends = split.select(F.explode("pieces").alias("piece")).filter(F.col("piece").rlike(_STOPPED)).select(_last_word(F.col("piece")).alias("word")).join(asked, "word", "left_semi").distinct().withColumn("ends", F.lit(True))
+    raw = F.split(F.regexp_replace(F.col(f"`{text}`"), _SENTENCE_END, "$1\n"), _BREAK)
+    words = F.transform(F.filter(raw, lambda x: x.rlike(_STOPPED)), _last_word)
+    ends = documents.select(F.explode(words).alias("word")).distinct().join(asked, "word", "left_semi").withColumn("ends", F.lit(True))
     known = known.join(ends, "word", "left").withColumn("half_word", doubted & F.col("ends").isNull()).drop("ends")
     bare = last.filter("tail = ''").withColumn("half_word", F.lit(False)).withColumns({k: F.lit(0).cast("long") for k in ("whole", "stopped", "longer")})
     goes_on = (F.col("longer") > F.col("whole")) & ~(F.col("ended") & (F.col("longer") < 4 * F.col("whole")))

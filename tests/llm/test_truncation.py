@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from tapeline.llm import truncation
 
 SENTENCES = [
@@ -19,7 +21,7 @@ def corpus():
     return rows
 
 
-CUT = ["Buyers have been cautious since the fi", "Margin debt is up by 12% over…", "Most of the gain came from chip stocks, while [+230 chars]", "The company declined...", "Passive money keeps buying <a href=", "Passive money keeps &am", "<b>That view is not shared by everyone in the market.", "That view is not shar�", "Margin debt is up by 12", "The bank sold its shares on Mond…"]
+CUT = ["Buyers have been cautious since the fi", "Margin debt is up by 12% over…", "Most of the gain came from chip stocks, while [+230 chars]", "The company declined...", "Passive money keeps buying <a href=", "Passive money keeps &am", "<b>That view is not shared by everyone in the market.", "That view is not shar�", "Margin debt is up by 12", "The bank sold its shares on Mond…", "Buyers have been cautious since the firm rep\n \n"]
 
 
 def test_planted_cuts(spark):
@@ -34,7 +36,7 @@ def test_planted_cuts(spark):
 
 def test_counts_against_brute_force(spark):
     df = spark.createDataFrame(corpus(), "doc_id long, text string")
-    pieces = [r[0] for r in truncation.split_documents(df).selectExpr("explode(pieces) as p").select(truncation._mask(__import__("pyspark.sql.functions", fromlist=["col"]).col("p"))).collect() if r[0]]
+    pieces = [r[0] for r in truncation.split_documents(df).select(F.explode("pieces").alias("p")).select(truncation._bare(F.col("p"))).collect() if r[0]]
     for r in truncation.judged(df).filter("tail != ''").collect():
         assert r.whole == sum(p == r.tail for p in pieces)
         assert r.longer == sum(p.startswith(r.tail) and p != r.tail for p in pieces)
