@@ -35,7 +35,7 @@ LOOKALIKES = {
 PREFERENCE = ("LATIN", "CYRILLIC", "GREEK", "ARMENIAN")
 #: Characters that show nothing: format characters, variation selectors, fillers, the combining grapheme joiner.
 _SHOWS_NOTHING = re.compile(
-    "[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ￹-￻"
+    "[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0\ufff9-\ufffb"
     "\U000e0000-\U000e0fff\x00-\x08\x0e-\x1b\x7f-\x84\x86-\x9f]"
 )
 
@@ -94,8 +94,8 @@ def _spelled(token: str, line_script: str | None) -> str:
     return _spell(token, next(s for s in (*PREFERENCE, *sorted(scripts)) if s in scripts))
 
 
-_TOKENS = re.compile("[^\\W\\d_](?:[^\\W\\d_]|[̀-ͯ])*")
-_SPECIAL_BLANK = re.compile("[\t-\r\x1c-\x1f\x85   -     　]")
+_TOKENS = re.compile("[^\\W\\d_](?:[^\\W\\d_]|[\u0300-\u036f])*")
+_SPECIAL_BLANK = re.compile("[\t-\r\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 def _plain(text: str) -> str:

@@ -10,7 +10,7 @@ def test_tables_line_up():
 @pytest.mark.parametrize(
     ("a", "b"),
     [
-        ("bаsket fоr", "basket for"), ("ｐｏｉｎｔ　ｔｏ", "point to"), ("th\u200de\u2060 Da\u00adte\ufeff", "the Date"), ("é", "e\u0301"), ("a\u00a0b\u2007c\u202fd", "a b c d"),
+        ("bаsket fоr", "basket for"), ("ｐｏｉｎｔ\u3000ｔｏ", "point to"), ("th\u200de\u2060 Da\u00adte\ufeff", "the Date"), ("é", "e\u0301"), ("a\u00a0b\u2007c\u202fd", "a b c d"),
         ("Νasdaq Ηοke", "Nasdaq Hoke"), ("Doԝ Niӏi", "Dow Nili"), ("ﬁrst oﬀ", "first off"), ("Вlümen", "Blu\u0308men"), ("Рынoк", "Рынок"), ("օne", "one"), ("ё", "ë"), ("\tx", " x"),
     ],
 )
