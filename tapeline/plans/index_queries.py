@@ -257,7 +257,7 @@ QUERIES = {
 # --- SQL ---------------------------------------------------------------------------------------------------
 
 _WHITE = r"' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)"
-_WIDE = "".join(chr(0xFF01 + i) for i in range(94)) + "　    "
+_WIDE = "".join(chr(0xFF01 + i) for i in range(94)) + "\u3000\u00a0\u202f\u2007\u2009"
 _NARROW = "".join(chr(0x21 + i) for i in range(94)).replace("'", "''") + "     "
 
 

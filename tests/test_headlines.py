@@ -13,7 +13,7 @@ def one(spark, column, *values):
 
 
 def test_normalise(spark):
-    texts = ["  S&P 500: Bubble, or Bargain?!  ", "AI/tech sell-off", None, "", "ＷＩＤＥ　blank", "a—b_c", "$5 + ^x | ~<", "Ａ\xa0b", "..."]
+    texts = ["  S&P 500: Bubble, or Bargain?!  ", "AI/tech sell-off", None, "", "ＷＩＤＥ\u3000blank", "a—b_c", "$5 + ^x | ~<", "Ａ\xa0b", "..."]
     want = ["sp 500 bubble or bargain", "ai tech sell off", "", "", "wide blank", "a b c", "$5 + ^x | ~<", "a b", ""]
     assert one(spark, normalise_text, *texts) == want
     assert [normalise_here(t or "") for t in texts] == want
