@@ -66,7 +66,7 @@ def walk_keys(words: np.ndarray, starts: np.ndarray, walks: int) -> np.ndarray:
     keys = np.empty((walks, len(starts)), np.uint64)
     ids = words.astype(np.uint64) + np.uint64(1)
     for r in range(walks):
-        bits = _mix(ids + np.uint64(r) * np.uint64(0x9E3779B97F4A7C15))  # bit j: whether step j leaves this word
+        bits = _mix(ids + np.uint64(r * 0x9E3779B97F4A7C15 % (1 << 64)))  # bit j: whether step j leaves this word
         wanted = set(np.random.default_rng(1000 + r).choice(SAMPLED_FROM, SAMPLED, replace=False).tolist())
         at, key = np.zeros(len(starts), np.int64), np.full(len(starts), r + 1, np.uint64)
         for j in range(max(wanted) + 1):
