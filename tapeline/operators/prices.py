@@ -13,6 +13,19 @@ from tapeline.functions.dates import flexible_day
 from tapeline.functions.text import filled, strip
 
 TRADING_DAYS = 252
+#: A field of a CSV line after its comma: between quotes (inner ones doubled), with what stands after them, or plain.
+_FIELD = r',(?:"([^"]*+(?:""[^"]*+)*+)(?:"([^,]*+)|\z)|([^,]*+))'
+
+
+def csv_fields(line: Column) -> Column:
+    """The fields of a CSV line as the reference's reader sees them: quotes taken off, commas inside them kept.
+
+    A quote inside a plain field is a character like any other; a quoted field that is never closed goes to the end.
+    """
+    cells = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(_FIELD), F.lit(0))
+    part = lambda x, k: F.regexp_extract(x, _FIELD, k)
+    quoted = F.transform(cells, lambda x: F.when(x.startswith(',"'), F.concat(F.replace(part(x, 1), F.lit('""'), F.lit('"')), part(x, 2))).otherwise(F.substring(x, 2, 2**31 - 1)))
+    return F.when(F.contains(line, F.lit('"')), quoted).otherwise(F.split(line, ","))
 
 
 def canonical_symbol(symbol: Column) -> Column:

@@ -150,7 +150,7 @@ def price_conflicts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _split_lines(spark: SparkSession, sf: str) -> DataFrame:
-    part = F.split("line", ",")
+    part = prices.csv_fields(F.col("line"))
     rows = table(spark, sf, "raw_price_lines").select("line_id", *(F.get(part, i).alias(c) for i, c in enumerate(("date", "symbol", "open", "high", "low", "close", "adj_close", "volume"))))
     return prices.select_prices(rows, "line_id").withColumn("date", F.col("date").cast("string"))
 

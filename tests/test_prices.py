@@ -1,9 +1,12 @@
+import csv
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from tapeline.checks import CheckError
 from tapeline.operators import prices
+from tapeline.plans import index_queries
 
 DAYS = [f"2024-01-0{d}" for d in range(1, 6)]
 SERIES = {"SPY": (100, 110, 105, 126, 126), "QQQ": (50, 55, 60, 66, 72), "RSP": (200, 198, 202, 210, 205), "VIX": (20, 22, 21, 25, 23)}
@@ -73,3 +76,28 @@ def test_refusals(spark):
 def test_symbols():
     assert prices.canonical_symbols([" vix", "^VIX", "spy", "SPY", None]) == ("^VIX", "SPY", "")
     assert (prices.prefix_of("vix"), prices.prefix_of("Spy")) == ("vix", "spy")
+
+
+LINES = [
+    '"2024-01-02",SPY,1,1,1,"4.5","4.25","1,000"', '2024-01-02,"SPY","1,5",1,1,4.5,4.75,7', '2024-01-02,SPY,1,1,1,4.5,4.25,"1,000"\r', '2024-01-02,"QQQ",6"1,1,1,"3.5",,7',
+    '2024-01-02,"Q""Q",1,"",1,3.5,,"approx ""1m"""', '2024-01-03,QQQ,1,"6"1z,1,3.5,', '2024-01-03,QQQ,1,"61,1,3.5,,7', '""', '', ',', '"', '"",""', 'a,"b"",c', 'плата,"a,б"',
+]
+
+
+def read(line):
+    """Python's own reader; a carriage return that ends the line stays with its field."""
+    return None if line is None else [x.replace("~", "\r") for x in next(csv.reader([line.replace("\r", "~")]))] or [""]
+
+
+def test_csv_fields(spark):
+    rows = [*LINES, None, '"' + 'ab""' * 20_000 + '",x']
+    df = spark.createDataFrame(list(enumerate(rows)), "line_id long, line string")
+    got = dict(df.select("line_id", prices.csv_fields(F.col("line"))).collect())
+    assert [got[i] for i in range(len(rows))] == [read(x) for x in rows]
+
+
+def test_quoted_lines(spark, tmp_path):
+    spark.createDataFrame(list(enumerate(LINES)), "line_id long, line string").write.parquet(f"{tmp_path}/raw_price_lines.parquet")
+    got = {r.line_id: (r.date, r.symbol, r.price) for r in index_queries.selected_prices(spark, str(tmp_path)).collect()}
+    assert [got[i] for i in range(4)] == [("2024-01-02", "SPY", 4.25), ("2024-01-02", "SPY", 4.75), ("2024-01-02", "SPY", 4.25), ("2024-01-02", "QQQ", 3.5)]
+    assert [tuple(r) for r in index_queries.price_conflicts(spark, str(tmp_path)).collect()] == [("2024-01-02", "SPY", 2)]
