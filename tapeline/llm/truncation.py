@@ -3,8 +3,8 @@
 The values joined are the sentences and lines of all documents, with numbers and names masked. A document's
 last one is looked up among all others: how often does it stand there whole, how often with a full stop, and
 how often do longer ones begin with it? Cut text goes on elsewhere more often than it ends there, or it ends
-there with the full stop that it lacks here. Prefixes are hashed at fixed lengths, so each last sentence
-meets only those that share its beginning.
+there with the full stop that it lacks here, or it ends properly nowhere; copies of a cut text don't speak for
+it. Prefixes are hashed at fixed lengths, so each last sentence meets only those that share its beginning.
 """
 
 from __future__ import annotations
@@ -75,6 +75,7 @@ def split_documents(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     return rows.select(
         "doc_id",
         "pieces",
+        F.xxhash64("masked").alias("copy"),
         _last_word(F.col("body")).alias("word"),
         "marked",
         "counted",
@@ -93,17 +94,20 @@ def _level(length: Column) -> Column:
 
 
 def judged(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, tail, whole, stopped, longer, the marks of split_documents, cut) of every document with text.
+    """(doc_id, tail, texts, open, whole, stopped, proper, longer, the marks of split_documents, cut) of every document with text.
 
     Null and blank texts have no row. `whole` counts the pieces equal to the document's last one, itself
-    included, `stopped` those of them with a full stop, `longer` those that go on after it; all three over all
-    pieces of all documents.
+    included, `stopped` those of them with a full stop, `proper` those that something follows on another line or
+    in the same one, or that end as sentences do, `longer` those that go on after it; all four over all pieces of
+    all documents. `open` counts the documents that stop there unfinished, `texts` these without masked copies.
     """
     split = split_documents(documents, doc_id, text).persist(StorageLevel.MEMORY_AND_DISK)
     # masked pieces repeat a lot, so counting them combines map-side before anything is shuffled
-    pieces = split.select(F.explode("pieces").alias("piece")).select(_bare(F.col("piece")).alias("piece"), F.col("piece").rlike(_STOPPED).cast("int").alias("stop")).filter("piece != ''").groupBy("piece").agg(F.count(F.lit(1)).alias("n"), F.sum("stop").alias("stopped")).persist(StorageLevel.MEMORY_AND_DISK)
+    each = split.select(F.posexplode("pieces").alias("k", "piece"), F.size("pieces").alias("of"), "ended")
+    each = each.select(_bare(F.col("piece")).alias("piece"), F.col("piece").rlike(_STOPPED).cast("int").alias("stop"), ((F.col("k") + 1 < F.col("of")) | F.col("ended")).cast("int").alias("proper"))
+    pieces = each.filter("piece != ''").groupBy("piece").agg(F.count(F.lit(1)).alias("n"), F.sum("stop").alias("stopped"), F.sum("proper").alias("proper")).persist(StorageLevel.MEMORY_AND_DISK)
     last = split.withColumn("tail", _bare(F.element_at("pieces", -1))).drop("pieces").persist(StorageLevel.MEMORY_AND_DISK)
-    tails = last.filter("tail != ''").groupBy("tail").agg(F.count(F.lit(1)).alias("docs"))
+    tails = last.filter("tail != ''").groupBy("tail").agg(F.count(F.lit(1)).alias("docs"), F.count_distinct(F.when(~F.col("ended"), F.col("copy"))).alias("texts"), F.count(F.when(~F.col("ended"), 1)).alias("open"))
     keyed = tails.select("tail", "docs", F.length("tail").alias("length")).withColumn("level", _level(F.col("length"))).withColumn("start", F.expr("substring(tail, 1, level)"))
     # at a level only the characters up to the next one tell tails apart: pieces that agree so far are one row
     longer = None
@@ -121,12 +125,15 @@ def judged(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     words = F.transform(F.filter(raw, lambda x: x.rlike(_STOPPED)), _last_word)
     ends = documents.select(F.explode(words).alias("word")).distinct().join(asked, "word", "left_semi").withColumn("ends", F.lit(True))
     known = known.join(ends, "word", "left").withColumn("half_word", doubted & F.col("ends").isNull()).drop("ends")
-    bare = last.filter("tail = ''").withColumn("half_word", F.lit(False)).withColumns({k: F.lit(0).cast("long") for k in ("whole", "stopped", "longer")})
+    bare = last.filter("tail = ''").withColumn("half_word", F.lit(False)).withColumns({k: F.lit(0).cast("long") for k in ("texts", "open", "whole", "stopped", "proper", "longer")})
     goes_on = (F.col("longer") > F.col("whole")) & ~(F.col("ended") & (F.col("longer") < 4 * F.col("whole")))
+    # nothing ends there properly, and as many go on as there are other texts that stop there: copies of a text are one
+    never_ends = ~F.col("ended") & (F.col("proper") == 0) & (F.col("longer") > 0) & (F.col("longer") >= F.col("texts"))
     # within a line every sentence has its full stop; on a line of its own one that has it everywhere else
-    open_end = ~F.col("ended") & ~F.col("marked") & (F.col("mid_line") | (F.col("later_line") & (F.col("whole") >= 5) & (F.col("stopped") * 5 >= F.col("whole") * 4)))
+    unstopped = F.col("whole") - F.col("stopped") - F.col("open") + F.col("texts") - 1
+    open_end = ~F.col("ended") & ~F.col("marked") & (F.col("mid_line") | (F.col("later_line") & (F.col("stopped") > 0) & (F.col("stopped") * 5 >= (F.col("stopped") + unstopped) * 4)))
     alone = (F.col("whole") <= 1) & ~F.col("ended") & F.col("mid_line")
-    return known.unionByName(bare).withColumn("cut", F.col("broken") | goes_on | open_end | alone | F.col("half_word") | (F.col("counted") & ~F.col("ended")))
+    return known.unionByName(bare).withColumn("cut", F.col("broken") | goes_on | never_ends | open_end | alone | F.col("half_word") | (F.col("counted") & ~F.col("ended")))
 
 
 def truncated(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -40,3 +40,11 @@ def test_counts_against_brute_force(spark):
     for r in truncation.judged(df).filter("tail != ''").collect():
         assert r.whole == sum(p == r.tail for p in pieces)
         assert r.longer == sum(p.startswith(r.tail) and p != r.tail for p in pieces)
+
+
+def test_one_original(spark):
+    whole = ["Rates were left where they stood after a long debate among members.", "Copper fell while zinc and tin were little changed in thin trade.", "The fund sold most of its stake to Halden."]
+    cut = [(1000, whole[0][:40]), *((1001 + k, SENTENCES[1] + "\n" + whole[1][:38]) for k in range(150)), (1200, SENTENCES[2] + "\n" + whole[2][:-3])]
+    good = [(2000 + k, x) for k, x in enumerate(whole)] + [(2010 + k, f"{SENTENCES[k]}\n{SENTENCES[k + 1]}\nReported by staff") for k in range(5)] + [(2020, SENTENCES[3] + "\nReported by staff in the morning")]
+    df = spark.createDataFrame(corpus() + cut + good, "doc_id long, text string")
+    assert {r.doc_id for r in truncation.truncated(df).collect()} == {i for i, _ in cut}
