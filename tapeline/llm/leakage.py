@@ -79,12 +79,13 @@ def walk_keys(words: np.ndarray, starts: np.ndarray, walks: int) -> np.ndarray:
     return keys
 
 
-def walks_needed(target: float = TARGET_RECALL, trials: int = 4000, most: int = 64) -> int:
-    """Walks until windows with one replaced inner word share a key with the target probability, by simulation."""
+def walks_needed(target: float = TARGET_RECALL, trials: int = 20_000, most: int = 64) -> int:
+    """Walks until windows with EDITS replaced inner words share a key with the target probability, by simulation."""
     rng = np.random.default_rng(7)
     words = rng.integers(1, 1 << 30, size=(trials, WINDOW))
     edited = words.copy()
-    edited[np.arange(trials), rng.integers(1, WINDOW - 1, trials)] = rng.integers(1 << 30, 1 << 31, trials)
+    inner = 1 + rng.random((trials, WINDOW - 2)).argsort(axis=1)[:, :EDITS]
+    edited[np.arange(trials)[:, None], inner] = rng.integers(1 << 30, 1 << 31, (trials, EDITS))
     starts = np.arange(trials) * WINDOW
     met = walk_keys(words.ravel(), starts, most) == walk_keys(edited.ravel(), starts, most)
     recall = np.maximum.accumulate(met, axis=0).mean(axis=1)

@@ -56,6 +56,16 @@ def test_recall_against_brute_force():
     assert hit >= 0.97 * 400
 
 
+def test_recall_at_all_edits():
+    index = leakage.build_index([k for k, _ in ITEMS], [t for _, t in ITEMS])
+    rng = random.Random(9)
+    hit = 0
+    for _ in range(400):
+        k, a = rng.randrange(20), rng.randrange(28)
+        hit += (0, k) in leakage.search(index, [FILL + " ".join(quote(k, a, 12, rng.sample(range(1, 11), leakage.EDITS))) + " " + FILL])
+    assert hit >= 0.97 * 400
+
+
 def test_edit_distance():
     a, b = np.array([[1, 2, 3], [1, 2, 3], [1, 2, 3]]), np.array([[1, 2, 3], [2, 3, 4], [7, 8, 9]])
     assert leakage.edit_distances(a, b).tolist() == [0, 2, 3]
