@@ -152,6 +152,25 @@ def fit(texts: list[list[str]], labels: np.ndarray, rounds: int = 2) -> Model:
     return replace(model, trust=(trust / trust.mean()).astype(np.float32))
 
 
+def _segments(lost: np.ndarray, cost: float) -> list[tuple[int, int, int]]:
+    """(language, first token, end token) of the cheapest stretches, by the (tokens + 1, languages) summed losses; each cut costs `cost`."""
+    n, k = len(lost) - 1, lost.shape[1]
+    best, begun, since = np.full((n + 1, k), np.inf), np.full(k, np.inf), np.zeros(k, np.int64)
+    came = np.zeros((n + 1, k), np.int64)
+    for e in range(LEAST_LENGTH, n + 1):
+        s = e - LEAST_LENGTH
+        new = (best[s].min() + cost if s else 0.0) - lost[s]
+        since[new < begun] = s
+        begun = np.minimum(begun, new)
+        best[e], came[e] = lost[e] + begun, since
+    out, e = [], n
+    while e:
+        c = int(best[e].argmin())
+        out.append((c, int(came[e, c]), e))
+        e = out[-1][1]
+    return out[::-1]
+
+
 def decode(model: Model, titles: list[str | None], least_tokens: int = LEAST_TOKENS, least_gain: float = LEAST_GAIN) -> list[list[tuple[str, float, int, int]]]:
     """For each title its parts: (language, confidence, first token, end token); none for a title without words."""
     split = [tokens_of(t) if t else [] for t in titles]
@@ -177,11 +196,19 @@ def decode(model: Model, titles: list[str | None], least_tokens: int = LEAST_TOK
     out: list[list[tuple[str, float, int, int]]] = []
     confidence = lambda losses, n: float(1 / np.exp(np.clip((losses.min() - losses) / max(n, 1) ** 0.5, -50, 0)).sum())
     second = np.sort(said, axis=1)[:, -2]
+    apart = np.bincount(row, weights=token_loss.min(axis=1)[ids], minlength=len(split))  # no parts lose less
     for i in range(len(split)):
         n, a = int(lengths[i]), int(starts[i])
         if not n:
             out.append([])
             continue
+        if second[i] and n >= 3 * LEAST_LENGTH and whole[i].min() - apart[i] > 2 * least_gain:
+            parts = _segments(lost[a : ends[i] + 1] - lost[a], least_gain)
+            own = token_loss[ids[a : ends[i]]]
+            clear = lambda x, y: (own[x[1] : x[2], y[0]] - own[x[1] : x[2], x[0]] > CLEAR).sum() >= least_tokens  # noqa: B023, E731
+            if len(parts) > 2 and all(clear(x, y) and clear(y, x) for x, y in itertools.pairwise(parts)):
+                out.append([(LANGUAGES[c], confidence(lost[a + e] - lost[a + s], e - s), s, e) for c, s, e in parts])
+                continue
         if second[i] and n >= 2 * LEAST_LENGTH:
             at = np.arange(a + LEAST_LENGTH, ends[i] - LEAST_LENGTH + 1)
             left, right = lost[at] - lost[a], lost[ends[i]] - lost[at]

@@ -39,6 +39,14 @@ def test_single_and_mixed(model):
     assert language.decode(model, []) == []
 
 
+def test_more_than_one_cut(model):
+    en, de, fr = "why traders think the shares will fall", "warum die anleger vor einer blase warnen", "les investisseurs craignent une correction du marché"
+    for texts, want in (((en, de, en), ["en", "de", "en"]), ((en, de, fr), ["en", "de", "fr"]), ((en, de, fr, en), ["en", "de", "fr", "en"])):
+        parts = language.decode(model, [" ".join(texts)])[0]
+        assert [p[0] for p in parts] == want
+        assert parts[0][2] == 0 and all(x[3] == y[2] for x, y in zip(parts, parts[1:])) and parts[-1][3] == len(language.tokens_of(" ".join(texts)))
+
+
 def test_operator(spark, model):
     rows = [(1, "the market looks expensive", " ENG "), (2, "the market looks expensive", "German"), (3, "le marché est trop cher", None), (4, None, "English"), (5, " ", None), (6, "die anleger warnen vor einer blase: the market looks expensive to buyers", "German"), (7, "le marché est trop cher", "-")]
     df = spark.createDataFrame(rows, "headline_id long, title string, language string").selectExpr("*", "'x' as langs", "'y' as code", "1 as lang")
