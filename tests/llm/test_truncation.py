@@ -30,16 +30,37 @@ def test_planted_cuts(spark):
     good = [(2000, None), (2001, ""), (2002, "  "), (2003, SENTENCES[0] * 400), (2004, SENTENCES[1]), (2005, SENTENCES[1])]
     df = spark.createDataFrame(rows + bad + good, "doc_id long, text string").selectExpr("*", "1 as tail", "2 as body", "3 as whole", "'S ' as source")
     assert {r.doc_id for r in truncation.truncated(df).collect()} == {i for i, _ in bad}
-    assert [tuple(r) for r in truncation.rates(df).collect()] == [("s", len(rows + bad + good), len(bad), round(len(bad) / len(rows + bad + good), 6))]
+    assert [tuple(r) for r in truncation.rates(df).collect()] == [("s", len(rows + bad + good), len(bad), 6, 1, 4, round(len(bad) / len(rows + bad + good), 6))]
     assert truncation.truncated(df.limit(0)).count() == 0
 
 
 def test_counts_against_brute_force(spark):
-    df = spark.createDataFrame(corpus(), "doc_id long, text string")
-    pieces = [r[0] for r in truncation.split_documents(df).select(F.explode("pieces").alias("p")).select(truncation._bare(F.col("p"))).collect() if r[0]]
-    for r in truncation.judged(df).filter("tail != ''").collect():
-        assert r.whole == sum(p == r.tail for p in pieces)
-        assert r.longer == sum(p.startswith(r.tail) and p != r.tail for p in pieces)
+    df = spark.createDataFrame(corpus() + [(900 + i, SENTENCES[i % 5] + " " + c) for i, c in enumerate(CUT)], "doc_id long, text string")
+    bare = lambda c: truncation._bare(F.col(c))
+    split = df.select(F.explode(F.split(truncation._mask(F.col("text")), truncation._PIECE_END)).alias("p")).select(bare("p").alias("b"), F.col("p").rlike(truncation._STOPPED).alias("s"))
+    pieces = [tuple(r) for r in split.filter("b != ''").collect()]
+    judged = truncation.judged(df).filter("whole is not null").collect()
+    assert len(judged) > 100
+    for r in judged:
+        # a marked tail's own piece still has its mark, so it may not stand among the pieces
+        assert r.whole == sum(p == r.tail for p, _ in pieces)
+        assert r.stopped == sum(p == r.tail and s for p, s in pieces)
+        assert r.longer == sum(p.startswith(r.tail) and p != r.tail for p, _ in pieces)
+
+
+def test_finished_sentences_are_no_cases(spark):
+    words = ("sharply", "again", "by a third", "in London", "after lunch", "for a week")
+    rows = [(k, f"{SENTENCES[0]}\nShares fell {w}. The bank declined {w} to comment.") for k, w in enumerate(words)]
+    done = [(100, SENTENCES[1] + " Shares fell."), (101, SENTENCES[2] + "\nThe bank declined."), (102, "Shares fell."), (103, SENTENCES[3] + " “Shares fell.”")]
+    cut = [(200, SENTENCES[1] + " Shares fe"), (201, SENTENCES[2] + "\nThe bank declined")]
+    found = {r.doc_id: r.rule for r in truncation.judged(spark.createDataFrame(rows + done + cut, "doc_id long, text string")).filter("rule is not null").collect()}
+    assert found == {200: "prefix", 201: "prefix"}
+
+
+def test_nothing_elsewhere_is_no_evidence(spark):
+    """A tail that nothing goes on after is no case, however it ends; ties between texts that end and go on are none."""
+    df = spark.createDataFrame([(1, "Alpha beta. gamma delt"), (2, "one two three"), (3, "one two three four."), (4, "Foo bar.\none two three"), (5, "x" * 100_000 + " y")], "doc_id long, text string")
+    assert truncation.truncated(df).count() == 0
 
 
 def test_one_original(spark):
