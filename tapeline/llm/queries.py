@@ -56,6 +56,11 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return glyphs.lookalike_pairs(table(spark, sf, "headlines"), "headline_id", "title")
 
 
+def p6_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Membership of the groups of look-alike titles: every row once, without its pairs."""
+    return glyphs.lookalike_groups(table(spark, sf, "headlines"), "headline_id", "title")
+
+
 def p6_titles(spark: SparkSession, sf: str) -> DataFrame:
     """Every title in its consistent form."""
     return table(spark, sf, "headlines").select("headline_id", glyphs.consistent_form(F.col("title")).alias("normal_title"))
@@ -121,7 +126,7 @@ def p10_rates(spark: SparkSession, sf: str) -> DataFrame:
     return truncation.rates(table(spark, sf, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_records, p2_found, p2_sample, p3_found, p3_parts, p6_found, p6_titles, p6_report, p7_found, p7_items, p7_annotators, p7_agreement, p8_found, p8_items, p9_found, p9_mixture, p9_shares, p10_found, p10_rates)}
+QUERIES = {q.__name__: q for q in (p1_found, p1_records, p2_found, p2_sample, p3_found, p3_parts, p6_found, p6_groups, p6_titles, p6_report, p7_found, p7_items, p7_annotators, p7_agreement, p8_found, p8_items, p9_found, p9_mixture, p9_shares, p10_found, p10_rates)}
 _CASES = " union all ".join(
     f"select '{t}' as table_name, {i} as id, title, domain, seendate from {source}"
     for t, i, source in (("headlines", "headline_id", "headlines"), ("raw_articles", "raw_id", "(select raw_id, json_extract_string(payload, '$.title') as title, json_extract_string(payload, '$.domain') as domain, json_extract_string(payload, '$.seendate') as seendate from raw_articles where json_valid(payload))"))
