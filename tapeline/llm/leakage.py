@@ -9,6 +9,7 @@ window are verified by their exact edit distance. Nothing is shuffled: the items
 
 from __future__ import annotations
 
+import functools
 import html
 import math
 import re
@@ -21,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tapeline.session import cut_lineage
+
 #: The shortest passage that counts, in words, and how many of them may be edited between its two ends.
 WINDOW = 12
 EDITS = 2
@@ -31,6 +34,9 @@ SAMPLED_FROM = 2 * WINDOW
 TARGET_RECALL = 0.995
 #: Items that are searched for in one pass over the documents; more items are more passes.
 ITEMS_A_PASS = 5_000
+#: Document windows keyed at a time, and candidate pairs built at a time: what a worker holds is bounded by these.
+BLOCK = 50_000
+PAIRS = 400_000
 
 _BLOCK_TAG = re.compile(r"<\s*/?\s*(?:br|p|div|li|ul|ol|tr|td|th|table|h[1-6]|hr|blockquote|section|article)\b[^<>]*>", re.I)
 _TAG = re.compile(r"<!--.*?-->|</?[a-zA-Z][^<>]*>", re.S)
@@ -79,17 +85,47 @@ def walk_keys(words: np.ndarray, starts: np.ndarray, walks: int) -> np.ndarray:
     return keys
 
 
-def walks_needed(target: float = TARGET_RECALL, trials: int = 20_000, most: int = 64) -> int:
-    """Walks until windows with EDITS replaced inner words share a key with the target probability, by simulation."""
+#: The edits that a window of fixed length can hold inside: words replaced, or one put in and one left out.
+EDIT_KINDS = ("replaced", "moved on")
+
+
+def edited_windows(words: np.ndarray, kind: str, edits: int, rng: np.random.Generator) -> np.ndarray:
+    """Copies of (n, WINDOW) word ids with so many edits between their first and last words; new words are new ids.
+
+    `replaced`: that many words are others. `moved on`: half of them are words put in, half words left out elsewhere
+    (an odd one is replaced), so that the words between the two places stand one off.
+    """
+    n, out = len(words), words.copy()
+    fresh = lambda k: rng.integers(1 << 30, 1 << 31, (n, k))
+    inner = 1 + rng.random((n, WINDOW - 2)).argsort(axis=1)
+    pairs = edits // 2 if kind == "moved on" else 0
+    for k in range(pairs):
+        new, gone = inner[:, 2 * k], inner[:, 2 * k + 1]
+        at = np.arange(WINDOW)[None, :]
+        back = (gone < new)[:, None]
+        # a word put in before the one left out moves those between on, else back
+        source = np.where(back, at + ((at >= gone[:, None]) & (at < new[:, None])), at - ((at > new[:, None]) & (at <= gone[:, None])))
+        out = np.take_along_axis(out, source, axis=1)
+        out[np.arange(n), new] = fresh(1)[:, 0]
+    for k in range(2 * pairs, edits):
+        out[np.arange(n), inner[:, k]] = fresh(1)[:, 0]
+    return out
+
+
+@functools.lru_cache(maxsize=8)
+def walks_needed(target: float = TARGET_RECALL, trials: int = 20_000, most: int = 96) -> int:
+    """Walks until windows with EDITS edits of the hardest kind share a key with the target probability, by simulation."""
     rng = np.random.default_rng(7)
     words = rng.integers(1, 1 << 30, size=(trials, WINDOW))
-    edited = words.copy()
-    inner = 1 + rng.random((trials, WINDOW - 2)).argsort(axis=1)[:, :EDITS]
-    edited[np.arange(trials)[:, None], inner] = rng.integers(1 << 30, 1 << 31, (trials, EDITS))
     starts = np.arange(trials) * WINDOW
-    met = walk_keys(words.ravel(), starts, most) == walk_keys(edited.ravel(), starts, most)
-    recall = np.maximum.accumulate(met, axis=0).mean(axis=1)
-    return int(np.argmax(recall >= target)) + 1 if (recall >= target).any() else most
+    own, needed = walk_keys(words.ravel(), starts, most), 1
+    for kind in EDIT_KINDS:
+        met = own == walk_keys(edited_windows(words, kind, EDITS, rng).ravel(), starts, most)
+        recall = np.maximum.accumulate(met, axis=0).mean(axis=1)
+        if recall[-1] < target:
+            raise ValueError(f"{most} walks reach a recall of {recall[-1]:.4f} only for windows with {EDITS} words {kind}")
+        needed = max(needed, int(np.argmax(recall >= target)) + 1)
+    return needed
 
 
 def edit_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -108,35 +144,59 @@ def edit_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 @dataclass(frozen=True)
 class Index:
     vocabulary: dict[str, int]
-    words: np.ndarray  # of all items, one after the other
-    starts: np.ndarray  # of the windows
-    item_of: np.ndarray  # of the windows: which item
+    windows: np.ndarray  # (n, WINDOW) word ids, each distinct window once
+    holders: list[np.ndarray]  # of each window: the positions of its items
     ids: list
-    keys: np.ndarray  # (walks, windows), each row sorted
-    order: np.ndarray  # (walks, windows): the window of each sorted key
+    keys: np.ndarray  # (walks, n), each row sorted
+    order: np.ndarray  # (walks, n): the window of each sorted key
 
 
 def build_index(ids: list, texts: list[str | None], walks: int | None = None) -> Index:
     vocabulary: dict[str, int] = {}
-    words, starts, item_of = [], [], []
+    rows, items = [], []
     for k, text in enumerate(texts):
-        own = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(text or "")]
-        windows = range(len(words), len(words) + len(own) - WINDOW + 1)
-        starts += windows
-        item_of += [k] * len(windows)
-        words += own
-    words, starts = np.array(words or [0], np.int64), np.array(starts, np.int64)
-    keys = walk_keys(words, starts, walks or walks_needed())
+        own = np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(text or "")], np.int64)
+        if len(own) >= WINDOW:
+            rows.append(np.lib.stride_tricks.sliding_window_view(own, WINDOW))
+            items.append(np.full(len(own) - WINDOW + 1, k))
+    every = np.concatenate(rows) if rows else np.zeros((0, WINDOW), np.int64)
+    item_of = np.concatenate(items) if items else np.zeros(0, np.int64)
+    windows, which = np.unique(every, axis=0, return_inverse=True)
+    which = which.ravel()
+    by = np.argsort(which, kind="stable")
+    holders = np.split(item_of[by], np.cumsum(np.bincount(which, minlength=len(windows)))[:-1]) if len(windows) else []
+    keys = walk_keys(windows.ravel() if len(windows) else np.zeros(1, np.int64), np.arange(len(windows)) * WINDOW, walks or walks_needed())
     order = np.argsort(keys, axis=1, kind="stable")
-    return Index(vocabulary, words, starts, np.array(item_of, np.int64), ids, np.take_along_axis(keys, order, axis=1), order)
+    return Index(vocabulary, windows, [np.unique(h) for h in holders], ids, np.take_along_axis(keys, order, axis=1), order)
+
+
+def _candidates(index: Index, keys: np.ndarray, a: int, b: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(document window, item window) pairs of the windows a to b that share a key, in chunks of about PAIRS."""
+    low = np.stack([np.searchsorted(index.keys[r], keys[r, a:b], "left") for r in range(len(keys))])
+    n = np.stack([np.searchsorted(index.keys[r], keys[r, a:b], "right") for r in range(len(keys))]) - low
+    total = n.sum()
+    if total > PAIRS and b - a > 1:
+        mid = (a + b) // 2
+        yield from _candidates(index, keys, a, mid)
+        yield from _candidates(index, keys, mid, b)
+    elif total:
+        mine, theirs = [], []
+        for r in range(len(keys)):
+            if m := n[r].sum():
+                mine.append(np.repeat(np.arange(a, b), n[r]))
+                theirs.append(index.order[r][np.arange(m) - np.repeat(np.cumsum(n[r]) - n[r], n[r]) + np.repeat(low[r], n[r])])
+        pair = np.unique(np.concatenate(mine) * len(index.windows) + np.concatenate(theirs))
+        yield pair // len(index.windows), pair % len(index.windows)
 
 
 def search(index: Index, texts: list[str | None]) -> list[tuple[int, int]]:
     """(row, item position) of the texts that hold a passage of an item."""
+    if not len(index.windows):
+        return []
     split = [[index.vocabulary.get(w, 0) for w in words_of(t)] if t else [] for t in texts]
     lengths = np.array([len(s) for s in split], dtype=np.int64)
     words = np.fromiter((w for s in split for w in s), np.int64, int(lengths.sum()))
-    if len(words) < WINDOW or not len(index.starts):
+    if len(words) < WINDOW:
         return []
     row = np.repeat(np.arange(len(split)), lengths)
     known = np.r_[0, np.cumsum(words > 0)]
@@ -145,25 +205,15 @@ def search(index: Index, texts: list[str | None]) -> list[tuple[int, int]]:
     fits = (row[at] == row[at + WINDOW - 1]) & (known[at + WINDOW] - known[at] >= WINDOW - EDITS) & (words[at] > 0) & (words[at + WINDOW - 1] > 0)
     at = at[fits]
     found: set[tuple[int, int]] = set()
-    if not len(at):
-        return []
-    keys = walk_keys(words, at, index.keys.shape[0])
-    pairs = []
-    for r in range(len(keys)):
-        low, high = np.searchsorted(index.keys[r], keys[r], "left"), np.searchsorted(index.keys[r], keys[r], "right")
-        n = high - low
-        if n.sum():
-            mine = np.repeat(np.arange(len(at)), n)
-            theirs = index.order[r][np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]
-            pairs.append(np.unique(mine * len(index.starts) + theirs))
-    for pair in (np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64),):
-        for part in np.array_split(pair, max(1, math.ceil(len(pair) / 200_000))):
-            mine, theirs = at[part // len(index.starts)], part % len(index.starts)
-            a, b = words[mine[:, None] + np.arange(WINDOW)], index.words[index.starts[theirs][:, None] + np.arange(WINDOW)]
-            ends = (a[:, 0] == b[:, 0]) & (a[:, -1] == b[:, -1])
-            a, b, mine, theirs = a[ends], b[ends], mine[ends], theirs[ends]
-            good = edit_distances(a, b) <= EDITS
-            found |= set(zip(row[mine[good]].tolist(), index.item_of[theirs[good]].tolist()))
+    for block in np.array_split(at, math.ceil(len(at) / BLOCK)) if len(at) else ():
+        keys = walk_keys(words, block, index.keys.shape[0])
+        for mine, theirs in _candidates(index, keys, 0, len(block)):
+            begin = block[mine]
+            ends = (words[begin] == index.windows[theirs, 0]) & (words[begin + WINDOW - 1] == index.windows[theirs, -1])
+            begin, theirs = begin[ends], theirs[ends]
+            good = edit_distances(words[begin[:, None] + np.arange(WINDOW)], index.windows[theirs]) <= EDITS
+            for r, w in set(zip(row[begin[good]].tolist(), theirs[good].tolist())):
+                found.update((r, i) for i in index.holders[w].tolist())
     return sorted(found)
 
 
@@ -189,5 +239,8 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", t
                 yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy()[[r for r, _ in hits]], "item_id": [index.value.ids[i] for _, i in hits]})
 
         part = documents.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInPandas(leaks, f"doc_id {doc_kind}, item_id {kind}")
+        if passes > 1:  # the index of a pass is let go before the next is built
+            part = cut_lineage(part)
+            index.unpersist()
         out = part if out is None else out.unionByName(part)
     return out

@@ -66,6 +66,42 @@ def test_recall_at_all_edits():
     assert hit >= 0.97 * 400
 
 
+@pytest.mark.parametrize("kind", leakage.EDIT_KINDS)
+@pytest.mark.parametrize("edits", range(1, leakage.EDITS + 1))
+def test_recall_of_every_edit_kind(kind, edits):
+    """Fresh windows, not those that the walks were counted on; brute force finds every one of them."""
+    rng = np.random.default_rng(31)
+    words = rng.integers(1, 1 << 30, (5000, leakage.WINDOW))
+    other = leakage.edited_windows(words, kind, edits, rng)
+    assert (leakage.edit_distances(words, other) <= leakage.EDITS).all() and (other[:, [0, -1]] == words[:, [0, -1]]).all()
+    starts, walks = np.arange(5000) * leakage.WINDOW, leakage.walks_needed()
+    assert (leakage.walk_keys(words.ravel(), starts, walks) == leakage.walk_keys(other.ravel(), starts, walks)).any(axis=0).mean() >= 0.99
+
+
+def test_moved_on_words_are_found():
+    index = leakage.build_index([k for k, _ in ITEMS], [t for _, t in ITEMS])
+    rng, hit = random.Random(10), 0
+    for _ in range(300):
+        k, a = rng.randrange(20), rng.randrange(28)
+        words = quote(k, a, 12)
+        gone, new = rng.sample(range(1, 11), 2)
+        del words[gone]
+        words.insert(new, "inserted")
+        hit += (0, k) in leakage.search(index, [FILL + " ".join(words) + " " + FILL])
+    assert hit >= 0.97 * 300
+
+
+def test_boilerplate_in_every_item(monkeypatch):
+    """A passage that stands in all items is one window of the index; candidates come in chunks."""
+    monkeypatch.setattr(leakage, "PAIRS", 50)
+    monkeypatch.setattr(leakage, "BLOCK", 30)
+    common = " ".join(quote(0, 0, 14))
+    items = [f"{common} {' '.join(quote(k, 0, 20))}" for k in range(1, 20)]
+    index = leakage.build_index(list(range(19)), items)
+    assert len(index.windows) < 19 * 23
+    assert leakage.search(index, [FILL, f"{FILL} {common}", None, common * 30]) == [(r, k) for r in (1, 3) for k in range(19)]
+
+
 def test_edit_distance():
     a, b = np.array([[1, 2, 3], [1, 2, 3], [1, 2, 3]]), np.array([[1, 2, 3], [2, 3, 4], [7, 8, 9]])
     assert leakage.edit_distances(a, b).tolist() == [0, 2, 3]
