@@ -37,6 +37,17 @@ def p2_sample(spark: SparkSession, sf: str) -> DataFrame:
     return targets.draw(units, plan).withColumnRenamed("unit", "pool_id")
 
 
+def p2_plan(spark: SparkSession, sf: str) -> DataFrame:
+    """What each target category needs, has and is planned to give to the sample."""
+    plan = targets.plan_frame(spark, targets.allocate(table(spark, sf, "annotation_pool"), table(spark, sf, "sample_targets"))[1])
+    return plan.withColumn("planned", F.round("planned", 3))
+
+
+def p2_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Target and actual share of every category of the drawn samples."""
+    return targets.shares(*targets.allocate(table(spark, sf, "annotation_pool"), table(spark, sf, "sample_targets")))
+
+
 def _identified(spark: SparkSession, sf: str) -> DataFrame:
     headlines = table(spark, sf, "headlines").select("headline_id", "title", "language")
     return language.identify(headlines, "title", language.fit_on(headlines, table(spark, sf, "documents")))
@@ -126,7 +137,7 @@ def p10_rates(spark: SparkSession, sf: str) -> DataFrame:
     return truncation.rates(table(spark, sf, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_records, p2_found, p2_sample, p3_found, p3_parts, p6_found, p6_groups, p6_titles, p6_report, p7_found, p7_items, p7_annotators, p7_agreement, p8_found, p8_items, p9_found, p9_mixture, p9_shares, p10_found, p10_rates)}
+QUERIES = {q.__name__: q for q in (p1_found, p1_records, p2_found, p2_plan, p2_sample, p2_shares, p3_found, p3_parts, p6_found, p6_groups, p6_titles, p6_report, p7_found, p7_items, p7_annotators, p7_agreement, p8_found, p8_items, p9_found, p9_mixture, p9_shares, p10_found, p10_rates)}
 _CASES = " union all ".join(
     f"select '{t}' as table_name, {i} as id, title, domain, seendate from {source}"
     for t, i, source in (("headlines", "headline_id", "headlines"), ("raw_articles", "raw_id", "(select raw_id, json_extract_string(payload, '$.title') as title, json_extract_string(payload, '$.domain') as domain, json_extract_string(payload, '$.seendate') as seendate from raw_articles where json_valid(payload))"))
@@ -144,4 +155,17 @@ SQL = {
 n as (select count(distinct pool_id) as n from units), have as (select a, b, count(*) as available from units group by a, b),
 need as (select *, {_CATEGORY('sample_stratum')} as a, {_CATEGORY('query_type')} as b, draw_pct * n // 100 as size from sample_targets, n)
 select distinct target_set, sample_stratum, query_type from need left join have using (a, b) where coalesce(available, 0) < greatest(min_rows, (target_pct * size + 99) // 100)""",
+    # free categories are k * target_pct, between minimum and what there is; k lies between two of the values where a category meets a bound
+    "p2_plan": f"""with units as (select distinct pool_id, {_CATEGORY('sample_stratum')} as a, {_CATEGORY('query_type')} as b from annotation_pool where pool_id is not null),
+n as (select count(distinct pool_id) as n from units), have as (select a, b, count(*) as available from units group by a, b),
+need as (select *, {_CATEGORY('sample_stratum')} as a, {_CATEGORY('query_type')} as b, draw_pct * n // 100 as size from sample_targets, n),
+rows_ as (select need.*, coalesce(available, 0) as available, greatest(min_rows, (target_pct * size + 99) // 100) as needed from need left join have using (a, b)),
+cells as (select target_set, a, b, first(available)::double as hi, sum(target_pct)::double as t, least(sum(min_rows), first(available))::double as lo, first(size)::double as size from rows_ group by target_set, a, b),
+totals as (select target_set, least(greatest(first(size) * sum(t) / 100, sum(lo)), sum(hi)) as total from cells group by target_set),
+points as (select distinct target_set, k from (select target_set, lo / t as k from cells where t > 0 union all select target_set, hi / t from cells where t > 0 union all select target_set, 0.0 from cells)),
+sums as (select p.target_set, k, sum(least(hi, greatest(lo, k * t))) as f from points p join cells c using (target_set) group by p.target_set, k),
+steps as (select *, lead(k) over w as k1, lead(f) over w as f1 from sums window w as (partition by target_set order by k)),
+root as (select s.target_set, min(case when coalesce(f1, f) > f then k + (total - f) / (f1 - f) * (k1 - k) else k end) as k from steps s join totals using (target_set) where total >= f - 1e-9 and (total <= f1 or f1 is null) group by s.target_set),
+planned as (select target_set, a, b, least(hi, greatest(lo, k * t)) as planned, case when hi = 0 or k * t > hi + 1e-6 then 'all taken' when k * t < lo - 1e-6 then 'floor' else 'free' end as held from cells left join root using (target_set))
+select target_set, sample_stratum, query_type, target_pct, cast(needed as bigint) as needed, available, round(planned, 3) as planned, held from rows_ join planned using (target_set, a, b)""",
 }
