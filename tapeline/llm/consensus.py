@@ -8,6 +8,11 @@ says the same weighs nothing, who says the contrary counts the other way round.
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,8 +24,12 @@ from tapeline.session import cut_lineage
 CATEGORIES = ("valuation", "bubble_speculation", "crash_correction_warning", "ai_tech_hype", "concentration")
 #: Prior counts of an annotator's hits and misses, in and out of the class.
 PRIOR_HIT, PRIOR_MISS = 4.0, 1.0
-MAX_ROUNDS = 40
-TOLERANCE = 1e-3
+MAX_ROUNDS = 300
+#: Messages have converged when none of them moves by more than this any more.
+TOLERANCE = 1e-2
+#: Rounds between two writes of the messages, and edges of a partition.
+WRITE_EVERY = 5
+PARTITION_EDGES = 500_000
 #: Groups beyond this many rows join back through attach(); so many annotators at most are broadcast.
 LARGE_GROUP = 100_000
 FEW = 50_000
@@ -40,9 +49,111 @@ def binary(label: Column) -> Column:
     return F.when(inner.isin("0", "1"), inner.cast("int"))
 
 
+class NotConverged(RuntimeError):
+    """Messages that still move after the last round."""
+
+
+def _heard(p: np.ndarray, said: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """What annotators tell items, by the sums (n, 4) of the annotator of each edge, the edge's own part taken off."""
+    hit = (of[:, 1] - p * said + PRIOR_HIT) / (of[:, 0] - p + PRIOR_HIT + PRIOR_MISS)
+    calm = (of[:, 3] - (1 - p) * (1 - said) + PRIOR_HIT) / (of[:, 2] - (1 - p) + PRIOR_HIT + PRIOR_MISS)
+    return np.where(said == 1, np.log(hit / (1 - calm)), np.log((1 - hit) / calm))
+
+
+class _Part:
+    """The edges of a partition, all edges of an item side by side, and rounds over them."""
+
+    def __init__(self, batches: Iterator[pd.DataFrame]):
+        rows = pd.concat(list(batches), ignore_index=True)  # PARTITION_EDGES or so
+        self.rows, self.said, self.weight = rows, rows["said"].to_numpy(), rows["weight"].to_numpy(float)
+        self.cls, self.who = rows["cls"].to_numpy(), rows["who"].to_numpy()
+        new = np.r_[True, (self.cls[1:] != self.cls[:-1]) | (rows["item"].to_numpy()[1:] != rows["item"].to_numpy()[:-1])] if len(rows) else np.zeros(0, bool)
+        self.start, self.group = np.flatnonzero(new), np.cumsum(new) - 1
+        self.moved = np.zeros(len(rows))
+
+    def inside(self) -> np.ndarray:
+        """How likely each item is in the class, by everyone but the edge's own annotator."""
+        total = np.add.reduceat(self.weight, self.start) if len(self.start) else np.zeros(0)
+        return 1 / (1 + np.exp(-np.clip(total[self.group] - self.weight, -700, 700)))
+
+    def replay(self, sums: list[np.ndarray]) -> None:
+        for of in sums:
+            new = _heard(self.inside(), self.said, of[self.cls, self.who])
+            self.moved, self.weight = np.abs(new - self.weight), new
+
+
+def intensity_value(score: Column) -> Column:
+    """The number of an intensity score, outer blanks and a decimal comma allowed, else null."""
+    return F.replace(F.regexp_replace(score, r"^[\s\p{Z}]+|[\s\p{Z}]+\z", ""), F.lit(","), F.lit(".")).try_cast("double")
+
+
 def pass_messages(edges: DataFrame, rounds: int = MAX_ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """(cls, item, log_odds) for edges (cls, item, annotator, said), said being 0 or 1, one per (cls, item, annotator).
 
+    The edges are shuffled once, by item. A round is a narrow pass over them: items speak inside their partition, and
+    of the annotators only four sums each are put together and sent back, FEW annotators at most. Partitions replay
+    the rounds since the messages were last written to the checkpoint folder. More annotators take pass_by_joins().
+    Messages that still move by more than `tolerance` after `rounds` raise NotConverged. An empty table gives none.
+    """
+    edges = edges.select("cls", "item", "annotator", "said")
+    names = [r[0] for r in edges.select("annotator").distinct().limit(FEW + 1).collect()]
+    if len(names) > FEW:
+        return pass_by_joins(edges, rounds, tolerance)
+    spark = edges.sparkSession
+    kinds = sorted(r[0] for r in edges.select("cls").distinct().collect())  # one, or the categories
+    coded = edges.join(F.broadcast(spark.createDataFrame([*enumerate(sorted(names))], "who int, annotator string")), "annotator")
+    coded = coded.join(F.broadcast(spark.createDataFrame([*enumerate(kinds)], "k int, cls string")), "cls")
+    parts = max(spark.sparkContext.defaultParallelism, edges.count() // PARTITION_EDGES + 1)
+    schema = "cls int, item string, who int, said int, weight double"
+    state = coded.select(F.col("k").alias("cls"), "item", "who", F.col("said").cast("int").alias("said"), F.when(F.col("said") == 1, 1.0).otherwise(-1.0).alias("weight"))
+    state = cut_lineage(state.repartition(parts, "cls", "item").sortWithinPartitions("cls", "item"))
+    since: list[np.ndarray] = []
+    most = np.inf
+    for _ in range(rounds if names else 0):
+        held = spark.sparkContext.broadcast(since)  # a few rounds of four numbers per annotator and class
+
+        def sums(batches, held=held):
+            if (first := next(batches, None)) is None:
+                return
+            part = _Part(itertools.chain([first], batches))
+            part.replay(held.value)
+            p = part.inside()
+            rows = pd.DataFrame({"cls": part.cls, "who": part.who, "a": p, "b": p * part.said, "c": 1 - p, "d": (1 - p) * (1 - part.said), "moved": part.moved})
+            yield rows.groupby(["cls", "who"], as_index=False).agg({"a": "sum", "b": "sum", "c": "sum", "d": "sum", "moved": "max"})
+
+        got = state.mapInPandas(sums, "cls int, who int, a double, b double, c double, d double, moved double").groupBy("cls", "who").agg(*(F.sum(c).alias(c) for c in "abcd"), F.max("moved").alias("moved")).collect()
+        held.destroy()
+        most = max((r.moved for r in got), default=0.0)
+        if since and most <= tolerance:
+            break
+        of = np.zeros((len(kinds), len(names), 4))
+        for r in got:
+            of[r.cls, r.who] = r.a, r.b, r.c, r.d
+        since.append(of)
+        if len(since) > WRITE_EVERY:
+            state = cut_lineage(_replayed(state, since[:-1], schema))
+            since = since[-1:]
+    else:
+        if names:
+            raise NotConverged(f"messages still move by {most:.4f} after {rounds} rounds")
+    known = spark.createDataFrame([*enumerate(kinds)], "k int, cls string")
+    out = _replayed(state, since, schema).groupBy(F.col("cls").alias("k"), "item").agg(F.sum("weight").alias("log_odds"))
+    return out.join(F.broadcast(known), "k").select("cls", "item", "log_odds")
+
+
+def _replayed(state: DataFrame, sums: list[np.ndarray], schema: str) -> DataFrame:
+    def weights(batches):
+        if (first := next(batches, None)) is not None:
+            part = _Part(itertools.chain([first], batches))
+            part.replay(sums)
+            yield part.rows.assign(weight=part.weight)
+
+    return state.mapInPandas(weights, schema)
+
+
+def pass_by_joins(edges: DataFrame, rounds: int = MAX_ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+    """pass_messages() for any number of annotators.
+
     Sums per item and per annotator are aggregated map-side and joined back, so a hot item or annotator is never
     in one task. After each round the messages are written to the shared checkpoint folder. An empty table gives none.
     """
@@ -68,11 +179,13 @@ def pass_messages(edges: DataFrame, rounds: int = MAX_ROUNDS, tolerance: float =
         calm = (F.col("no_outside") - out_class * (1 - F.col("said")) + PRIOR_HIT) / (F.col("outside") - out_class + PRIOR_HIT + PRIOR_MISS)
         new = F.when(F.col("said") == 1, F.log(hit / (1 - calm))).otherwise(F.log((1 - hit) / calm))
         after = cut_lineage(heard.select("cls", "item", "annotator", "said", new.alias("weight"), F.abs(new - F.col("weight")).alias("moved")))
-        moved = after.agg(F.avg("moved")).first()[0]
+        moved = after.agg(F.max("moved")).first()[0]
         told.unpersist()
         state = after.drop("moved")
-        if moved is None or moved < tolerance:
+        if moved is None or moved <= tolerance:
             break
+    else:
+        raise NotConverged(f"messages still move by {moved:.4f} after {rounds} rounds")
     return state.groupBy("cls", "item").agg(F.sum("weight").alias("log_odds"))
 
 
@@ -108,7 +221,7 @@ def answers(items: DataFrame, annotators: DataFrame) -> DataFrame:
 
 def agreement(usable: DataFrame) -> DataFrame:
     """(field, items, pairs, observed, alpha): pairwise agreement and Krippendorff's nominal alpha of each field."""
-    score = F.expr("try_cast(intensity_score as double)")
+    score = intensity_value(F.col("intensity_score"))
     long = usable.select("item", F.explode(F.array(
         F.struct(F.lit("criticism_label").alias("field"), F.col("said").cast("string").alias("value")),
         F.struct(F.lit("category_label").alias("field"), F.when(F.col("category").isin(*CATEGORIES), F.col("category")).alias("value")),
@@ -125,7 +238,7 @@ def agreement(usable: DataFrame) -> DataFrame:
 
 def intensity(usable: DataFrame, items: DataFrame, annotators: DataFrame) -> DataFrame:
     """(item, intensity): the median of usable scores (0 to 3) of positive items, each as heavy as its annotator is reliable."""
-    score = F.expr("try_cast(replace(trim(intensity_score), ',', '.') as double)")
+    score = intensity_value(F.col("intensity_score"))
     rows = usable.filter("said = 1").withColumn("score", score).filter("score between 0 and 3").join(items.filter("truth = 1").select("item"), "item", "left_semi").join(annotators.select("annotator", "reliability"), "annotator")
     by = Window.partitionBy("item").orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
     merged = rows.groupBy("item", "score").agg(F.sum("reliability").alias("w"))

@@ -51,3 +51,21 @@ def test_agreement(spark):
 def test_empty(spark):
     items, usable = consensus.consensus(spark.createDataFrame([], SCHEMA))
     assert items.count() == 0 and consensus.answers(items, consensus.reliability(usable, items)).count() == 0
+
+
+def test_rounds_agree_with_joins_and_never_stop_silently(spark, monkeypatch):
+    rows, _, _ = crowd(3, 40)
+    edges = spark.createDataFrame([(c, r[1], r[2], int(r[3].strip()) if c == "x" else 1 - int(r[3].strip())) for c in "xy" for r in rows], "cls string, item string, annotator string, said int")
+    key = lambda df: {(r.cls, r.item): r.log_odds for r in df.collect()}
+    passed, joined = key(consensus.pass_messages(edges)), key(consensus.pass_by_joins(edges))
+    assert passed.keys() == joined.keys() and all(abs(v - joined[k]) < 0.05 for k, v in passed.items())
+    for way in (consensus.pass_messages, consensus.pass_by_joins):
+        with pytest.raises(consensus.NotConverged):
+            way(edges, rounds=2)
+    monkeypatch.setattr(consensus, "FEW", 2)  # too many annotators to send around
+    assert key(consensus.pass_messages(edges)) == pytest.approx(joined)
+
+
+def test_scores_are_read_by_one_rule(spark):
+    df = spark.createDataFrame([(" 1,5 ",), ("2",), ("x",), (None,), ("",)], "s string")
+    assert [r[0] for r in df.select(consensus.intensity_value(df.s)).collect()] == [1.5, 2.0, None, None, None]
