@@ -13,11 +13,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tapeline.session import cut_lineage
+
 TOKENIZERS = os.environ.get("TAPELINE_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: The splitting pattern that goes with the byte-level vocabulary: a fixed value.
@@ -28,14 +30,19 @@ SLICES = 1 << 16
 
 
 def count_tokens(text: Column, path: str | None = None) -> Column:
-    """Tokens of a text by a public byte-level tokenizer; null and empty texts have none. `path`: its vocabulary file."""
+    """Tokens of a text by a public byte-level tokenizer; null and empty texts have none.
+
+    `path`: its vocabulary file on the driver, which is sent to the executors.
+    """
     file = path or os.path.join(TOKENIZERS, VOCABULARY)
+    SparkSession.active().sparkContext.addFile(file)
+    name = os.path.basename(file)
 
     @F.pandas_udf(T.LongType())
     def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import tiktoken
 
-        with open(file, "rb") as f:
+        with open(SparkFiles.get(name), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         encoding = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         for batch in batches:
@@ -49,8 +56,8 @@ def source_key(value: Column) -> Column:
 
 
 def measured(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", path: str | None = None) -> DataFrame:
-    """(doc_id, key, tokens) of every document, persisted: the texts are read and tokenised once."""
-    return documents.select(F.col(f"`{doc_id}`").alias("doc_id"), source_key(F.col(f"`{source}`")).alias("key"), count_tokens(F.col(f"`{text}`"), path).alias("tokens")).persist(StorageLevel.MEMORY_AND_DISK)
+    """(doc_id, key, tokens) of every document, written: the texts are read and tokenised once."""
+    return cut_lineage(documents.select(F.col(f"`{doc_id}`").alias("doc_id"), source_key(F.col(f"`{source}`")).alias("key"), count_tokens(F.col(f"`{text}`"), path).alias("tokens")))
 
 
 def _slope(sizes: pd.DataFrame, wanted: float) -> float:
@@ -96,24 +103,24 @@ def mix(sizes: DataFrame, plan: pd.DataFrame, seed: int = 1) -> DataFrame:
     """
     spark = sizes.sparkSession
     documents = sizes.filter("tokens > 0")
-    lengths = documents.groupBy("key", "tokens").agg(F.count(F.lit(1)).alias("n"))
-    needed = [k for k in plan.key[plan.rest > 0].unique()]
-    slopes: dict[tuple[str, str], tuple[float, int]] = {}
-    if needed:
-        #: distinct lengths of a source, at most as many as the longest text has tokens; lengths in steps of 1/256 of themselves beyond 4096
-        coarse = F.when(F.col("tokens") <= 4096, F.col("tokens").cast("double")).otherwise(F.exp(F.floor(F.log(F.col("tokens").cast("double")) * 256) / 256))
-        table = lengths.filter(F.col("key").isin(needed)).groupBy("key", coarse.alias("tokens")).agg(F.sum("n").alias("n")).toPandas()
-        for r in plan[plan.rest > 0].itertuples():
-            own = table[table.key == r.key]
-            k = _slope(own, r.rest)
-            slopes[r.mix_id, r.source] = float(k), int(round((own.n * np.minimum(1.0, k * own.tokens)).sum()))
-    rows = [[r.mix_id, r.source, r.key, int(r.whole), *slopes.get((r.mix_id, r.source), (0.0, 0))] for r in plan.itertuples() if r.available > 0]
-    chosen = F.broadcast(spark.createDataFrame(rows, "mix_id string, source string, key string, whole long, slope double, n long"))  # MAX_TARGETS rows at most
+    rows = [[r.mix_id, r.source, r.key, int(r.whole), float(r.rest)] for r in plan.itertuples() if r.available > 0]
+    chosen = spark.createDataFrame(rows, "mix_id string, source string, key string, whole long, rest double")  # MAX_TARGETS rows at most
+    # lengths in steps of 1/256 of themselves beyond 4096: some thousand rows per source, however many documents it has
+    coarse = F.when(F.col("tokens") <= 4096, F.col("tokens").cast("double")).otherwise(F.exp(F.floor(F.log(F.col("tokens").cast("double")) * 256) / 256))
+    lengths = documents.groupBy("key", coarse.alias("tokens")).agg(F.count(F.lit(1)).alias("n"))
+
+    def slope(pdf: pd.DataFrame) -> pd.DataFrame:
+        k = _slope(pdf, float(pdf.rest.iloc[0]))
+        return pdf.iloc[:1][["mix_id", "source"]].assign(slope=float(k), n=int(round((pdf.n * np.minimum(1.0, k * pdf.tokens)).sum())))
+
+    slopes = lengths.join(F.broadcast(chosen.filter("rest > 0")), "key").groupBy("mix_id", "source").applyInPandas(slope, "mix_id string, source string, slope double, n long")
+    chosen = cut_lineage(chosen.join(F.broadcast(slopes), ["mix_id", "source"], "left").select("mix_id", "source", "key", "whole", F.coalesce("slope", F.lit(0.0)).alias("slope"), F.coalesce("n", F.lit(0)).alias("n")))
+    chosen = F.broadcast(chosen)
     u = (F.shiftrightunsigned(F.xxhash64("doc_id", "mix_id", F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
     pi = F.least(F.lit(1.0), F.col("slope") * F.col("tokens"))
     odds = F.when(pi >= 1.0, F.lit(0.0)).otherwise(u / (1 - u) / (pi / (1 - pi)))
     each = documents.join(chosen, "key").withColumn("rank_odds", F.when(F.col("n") > 0, odds))
-    each = each.withColumn("slice", F.floor(F.col("rank_odds") / (1 + F.col("rank_odds")) * SLICES)).persist(StorageLevel.MEMORY_AND_DISK)
+    each = cut_lineage(each.withColumn("slice", F.floor(F.col("rank_odds") / (1 + F.col("rank_odds")) * SLICES)))
     by = ["mix_id", "source"]
     filled = each.filter("n > 0").groupBy(*by, "n", "slice").agg(F.count(F.lit(1)).alias("m"))
     limit = filled.withColumn("upto", F.sum("m").over(Window.partitionBy(*by).orderBy("slice"))).filter("upto >= n and upto - m < n").select(*by, F.col("slice").alias("limit_slice"), (F.col("n") - F.col("upto") + F.col("m")).alias("still"))

@@ -61,6 +61,16 @@ def test_collision_is_told_apart(spark, monkeypatch):
     assert [tuple(r) for r in copies.find_copies(records).collect()] == [(1, 3)]
 
 
+def test_characters_too(spark):
+    """Wide, combining and invisible variants are one record only where asked for."""
+    from tapeline.llm import glyphs
+
+    rows = [(1, "Größe Ａ", "d", "s"), (2, "Gro\u0308ße A", "d", "s"), (3, "größe \u200ba", "d", "s"), (4, None, "d", "s")]
+    df = frame(spark, rows)
+    same = copies.canonical_records(df, "id", FIELDS, glyphs.consistent_form)
+    assert {tuple(r) for r in copies.find_copies(same).collect()} == {(1, 2), (1, 3)} and not found(df)
+
+
 def test_attach(spark):
     rows = spark.range(20_000).selectExpr("if(id % 2 = 0, 0, id) as k", "id")
     counts = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
