@@ -41,11 +41,57 @@ def read_json_object(spark: SparkSession, path: str, schema: T.StructType) -> Da
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
+def _located(path: str):
+    """(file system, qualified path) of a path of any scheme, as Spark itself would resolve it."""
+    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs, fs.makeQualified(p)
+
+
+def under(folder: str, *names: str) -> str:
+    return "/".join([folder.rstrip("/"), *names])
+
+
+def path_exists(path: str) -> bool:
+    fs, p = _located(path)
+    return fs.exists(p)
+
+
+def normal_path(path: str) -> str:
+    """A path with scheme and host, without dots and, on the local disk, without links."""
+    _, p = _located(path)
+    uri = p.toUri().normalize()
+    return f"file:{os.path.realpath(uri.getPath())}" if uri.getScheme() == "file" else uri.toString().rstrip("/")
+
+
+def list_files(folder: str, suffix: str = "") -> list[str]:
+    """The files below a folder, at any depth, in order of their paths; none for a folder that isn't there."""
+    fs, p = _located(folder)
+    if not fs.exists(p):
+        return []
+    found, files = [], fs.listFiles(p, True)
+    while files.hasNext():
+        found.append(files.next().getPath().toString())
+    return sorted(f for f in found if f.endswith(suffix))
+
+
+def write_new_text(path: str, text: str) -> None:
+    """A small file that must not be there yet; folders are made as needed."""
+    fs, p = _located(path)
+    out = fs.create(p, False)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+
+
 def label_files(path: str) -> list[str]:
     """The file itself, or the sorted CSV files of a folder; none is an error."""
-    if os.path.isfile(path):
+    fs, p = _located(path)
+    if fs.exists(p) and not fs.getFileStatus(p).isDirectory():
         return [path]
-    found = sorted(os.path.join(path, f) for f in os.listdir(path) if f.endswith(".csv")) if os.path.isdir(path) else []
+    found = sorted(str(f.getPath().toString()) for f in fs.listStatus(p) if f.isFile() and f.getPath().getName().endswith(".csv")) if fs.exists(p) else []
     if not found:
         raise FileNotFoundError(f"no label CSV under {path}")
     return found
@@ -55,18 +101,18 @@ def read_label_union(spark: SparkSession, path: str, file_column: str = "_annota
     """Label CSVs with differing headers, one below the other, with the name of the file each row came from."""
     out = None
     for f in label_files(path):
-        part = read_text_csv(spark, f).withColumn(file_column, F.lit(os.path.basename(f)))
+        part = read_text_csv(spark, f).withColumn(file_column, F.lit(f.rsplit("/", 1)[-1]))
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return blank_nulls(out)
 
 
 def guard_output(path: str, overwrite: bool = False, raw_dir: str | None = None) -> str:
-    """Refuses an existing output unless told otherwise, and always anything inside the raw folder."""
+    """Refuses an existing output unless told otherwise, and always anything inside the raw folder, on any file system."""
     if raw_dir is not None:
-        full, raw = os.path.realpath(path), os.path.realpath(raw_dir)
-        if os.path.commonpath([full, raw]) == raw:
+        full, raw = normal_path(path), normal_path(raw_dir)
+        if full == raw or full.startswith(raw.rstrip("/") + "/"):
             raise OutputError(f"{path} lies in the raw folder, which is never rewritten")
-    if os.path.exists(path) and not overwrite:
+    if not overwrite and path_exists(path):
         raise OutputError(f"{path} exists; pass overwrite to replace it")
     return path
 

@@ -6,7 +6,6 @@ import random
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +14,7 @@ from tapeline.config import ANNOTATION_COLUMNS, CANDIDATE, CATEGORIES, CRITICISM
 from tapeline.functions import dates
 from tapeline.functions.text import contains_any, domain_key, filled, normalise_here, normalise_text, strip
 from tapeline.operators.headlines import first_of_each
+from tapeline.session import cut_lineage
 
 REQUIRED_SOURCE = ("title", "source", "domain", "url", "query_type")
 DATE_SOURCES = ("published_date_ny", "date", "seendate")
@@ -64,14 +64,15 @@ def draw_positions(n: int, k: int, seed: int, salt: int) -> list[int]:
     return list(range(n)) if n <= k else sorted(random.Random(seed + salt).sample(range(n), k))
 
 
-def ranked(pool: DataFrame, parts: int = 64) -> tuple[DataFrame, dict[str, int]]:
+def ranked(pool: DataFrame) -> tuple[DataFrame, dict[str, int]]:
     """(pool with the 0-based `_place` of each row in its stratum by key, rows per stratum).
 
-    Strata are sorted by ranges of the key: a range is a task, and its offset is the rows of the ranges before it.
+    Strata are sorted by ranges of the key, as many as the session shuffles into: a range is a task, and its offset is
+    the rows of the ranges before it. The ranges are written, as they are drawn by sampling and must not change.
     """
     keys = ["stratum", "_title", "_date", "_domain"]
-    spread = pool.repartitionByRange(parts, *keys).withColumn("_part", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
-    sizes = spread.groupBy("stratum", "_part").agg(F.count(F.lit(1)).alias("_m")).persist(StorageLevel.MEMORY_AND_DISK)
+    spread = cut_lineage(pool.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()))
+    sizes = cut_lineage(spread.groupBy("stratum", "_part").agg(F.count(F.lit(1)).alias("_m")))
     before = sizes.withColumn("_before", F.sum("_m").over(Window.partitionBy("stratum").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).select("stratum", "_part", F.coalesce("_before", F.lit(0)).alias("_before"))
     inside = F.row_number().over(Window.partitionBy("stratum", "_part").orderBy("_title", "_date", "_domain"))
     placed = spread.withColumn("_inside", inside).join(F.broadcast(before), ["stratum", "_part"])  # parts rows per stratum
@@ -171,6 +172,7 @@ def validation_report(labels: DataFrame, order: str, file_column: str = "annotat
     }
 
 
+# The lines of the report and their order are what its readers parse.
 def format_report(report: Mapping) -> str:
     number = lambda v: "n/a" if v is None else f"{v:.3f}"
     pairs = lambda d: ", ".join(f"{k}={v}" for k, v in d.items()) or "{}"

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import csv
 import io
-import os
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import date, datetime, timedelta, timezone
@@ -12,7 +11,7 @@ from datetime import date, datetime, timedelta, timezone
 from pyspark.sql import DataFrame, SparkSession
 
 from tapeline.config import END_DATE, PRICE_COLUMNS, START_DATE, SYMBOLS
-from tapeline.io import guard_output, text_schema, write_csv
+from tapeline.io import guard_output, text_schema, under, write_csv
 from tapeline.operators.prices import canonical_symbols
 from tapeline.sources.http import FetchError, Retrying, Transport
 
@@ -51,7 +50,7 @@ def unix_seconds(day: date) -> int:
 
 def output_path(raw_dir: str, symbols: Sequence[str], start: date, end: date) -> str:
     names = "_".join(s.replace("^", "").lower() for s in canonical_symbols(symbols))
-    return os.path.join(raw_dir, f"prices_{names}_{start:%Y%m%d}_{end:%Y%m%d}.csv")
+    return under(raw_dir, f"prices_{names}_{start:%Y%m%d}_{end:%Y%m%d}.csv")
 
 
 def fetch_symbol(client: Retrying, endpoint: str, symbol: str, start: date, end: date) -> list[tuple[str, ...]]:

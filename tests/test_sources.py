@@ -57,7 +57,23 @@ def test_retries():
     now = datetime(2024, 1, 1, tzinfo=timezone.utc)
     assert http.retry_after_seconds({"retry-after": "Mon, 01 Jan 2024 00:00:30 GMT"}, now) == 30
     assert http.retry_after_seconds({"Retry-After": "-5"}) == 0 and http.retry_after_seconds({"Retry-After": "soon"}) is None
-    assert client(Fake(ok({})))[0].delay(20) == 1800.0
+    assert http.retry_after_seconds({"RETRY-AFTER": " 1.5 "}) == 1.5 and http.retry_after_seconds({}) is None and http.retry_after_seconds(None) is None
+    assert list(client(Fake(ok({})), max_retries=9)[0].waits()) == [31.0, 61.0, 121.0, 241.0, 481.0, 961.0, 1800.0, 1800.0, 1800.0]
+    assert list(client(Fake(ok({})), max_retries=0)[0].waits()) == []
+
+
+def test_every_event_is_reported():
+    seen = []
+    c, slept = client(Fake(http.TransportError("down"), http.Response(503), ok({})), pause_seconds=0)
+    c.get("e", {}, seen.append, {"day": 1})
+    assert [e["phase"] for e in seen] == ["request", "retry", "request", "retry", "request", "success"] and all(e["day"] == 1 for e in seen)
+    assert seen[1]["error"] == "down" and seen[3]["status_code"] == 503 and slept == [31.0, 61.0]
+    with pytest.raises(http.FetchError, match="down"):
+        client(Fake(http.TransportError("down")), max_retries=2)[0].get("e", {}, seen.append)
+    assert seen[-1]["phase"] == "fatal_failure"
+    strict, _ = client(Fake(http.Response(501, "no")), statuses=frozenset((500,)))
+    with pytest.raises(http.FetchError, match="501: no"):
+        strict.get("e", {})
 
 
 def spec(tmp_path, **k):
@@ -117,11 +133,11 @@ def test_prices(spark, tmp_path):
 
 def test_archives(spark, tmp_path):
     lines = "1 h http://x/20240102000000.gkg.csv.zip\n2 h http://x/20240101000000.gkg.csv.zip\n3 h http://x/20240102.export.zip\n\n"
-    urls = archives.archive_urls(lines, date(2024, 1, 1), date(2024, 1, 2))
-    assert [u[-22:-8] for u in urls] == ["0101000000.gkg", "0102000000.gkg"] or len(urls) == 2
-    assert archives.archive_urls(lines, date(2024, 1, 1), date(2024, 1, 2), most=1) == urls[:1]
     frame = spark.createDataFrame([(x,) for x in lines.splitlines()], "value string")
+    urls = ["http://x/20240101000000.gkg.csv.zip", "http://x/20240102000000.gkg.csv.zip"]
     assert [r.archive_url for r in archives.archive_table(frame, date(2024, 1, 1), date(2024, 1, 2)).collect()] == urls
+    assert [r.archive_url for r in archives.archive_table(frame, date(2024, 1, 1), date(2024, 1, 2), most=1).collect()] == urls[:1]
+    assert archives.archive_table(frame, date(2024, 1, 3), date(2024, 1, 4)).count() == 0
     buffer = io.BytesIO()
     with zipfile.ZipFile(buffer, "w") as z:
         z.writestr("a.csv", b"1\tBUBBLE talk\n2\tcalm\xff\n")
@@ -135,6 +151,59 @@ def test_archives(spark, tmp_path):
         archives.matching(rows, [])
 
 
+def test_archive_collector(spark, tmp_path):
+    def fetch(url):
+        import io
+        import zipfile
+
+        buffer = io.BytesIO()
+        with zipfile.ZipFile(buffer, "w") as z:
+            z.writestr("a.csv", "1\tBUBBLE talk, \"quoted\"\n2\tcalm\n" if "0101" in url else "3\tcalm\n")
+        return buffer.getvalue()
+
+    master = http.Response(200, "1 h http://x/20240102000000.gkg.csv.zip\n2 h http://x/20240101000000.gkg.csv.zip\n")
+    spec = archives.ArchiveSpec("m", str(tmp_path), date(2024, 1, 1), date(2024, 1, 2), ("bubble",), keep_archives=True)
+    got = archives.collect_archives(spark, spec, client(Fake(master))[0], fetch)
+    assert (got["archives"], got["rows"]) == (2, 1)
+    assert [r.row_text for r in tio.read_text_csv(spark, got["extract"]).collect()] == ['1\tBUBBLE talk, "quoted"']
+    assert [tuple(r) for r in tio.read_text_csv(spark, got["manifest"]).collect()] == [("http://x/20240101000000.gkg.csv.zip", "2024-01-01", "1"), ("http://x/20240102000000.gkg.csv.zip", "2024-01-02", "0")]
+    fake = Fake(master)
+    with pytest.raises(tio.OutputError):
+        archives.collect_archives(spark, spec, client(fake)[0], fetch)
+    assert not fake.calls
+    with pytest.raises(ValueError):
+        archives.collect_archives(spark, archives.ArchiveSpec("m", str(tmp_path), date(2024, 1, 1), date(2024, 1, 2), ()), client(fake)[0], fetch)
+
+
+def test_one_shot_collection(spark, tmp_path):
+    spec = news.RunSpec(str(tmp_path / "raw"), str(tmp_path / "interim"), "e", date(2024, 1, 1), date(2024, 1, 2), pause_seconds=0)
+    fake = Fake(ok({"articles": [{"title": "A b", "url": "u", "domain": "d", "language": "English"}, {"title": "a  B!", "url": "v", "domain": "D"}]}))
+    got = news.collect_once(spark, spec, client(fake, pause_seconds=0)[0], "all_us_market")
+    assert got["rows"] == 2 and len(fake.calls) == 2  # one of each day's two is a copy
+    with pytest.raises(tio.OutputError):
+        news.collect_once(spark, spec, client(fake)[0], "all_us_market", overwrite=True)  # raw data is never replaced
+    failing = news.RunSpec(str(tmp_path / "raw2"), str(tmp_path / "interim2"), "e", date(2024, 1, 1), date(2024, 1, 2))
+    with pytest.raises(http.FetchError):
+        news.collect_once(spark, failing, client(Fake(ok({"articles": []}), http.Response(404)), pause_seconds=0)[0], "all_us_market")
+    assert not (tmp_path / "raw2").exists() and not (tmp_path / "interim2").exists()
+
+
+def test_guards_on_any_file_system(spark, tmp_path):
+    raw = tmp_path / "raw"
+    raw.mkdir()
+    (tmp_path / "link").symlink_to(raw)
+    for p in (f"file:{raw}/x", f"{tmp_path}/a/../raw/x", f"{tmp_path}/link/x"):
+        with pytest.raises(tio.OutputError, match="raw"):
+            tio.guard_output(p, True, f"file://{raw}")
+    assert tio.guard_output(f"file:{tmp_path}/rawer", False, str(raw))
+    tio.write_new_text(f"file:{tmp_path}/n/a.json", "é")
+    with pytest.raises(Exception, match="exist"):
+        tio.write_new_text(f"{tmp_path}/n/a.json", "")
+    with pytest.raises(tio.OutputError):
+        tio.guard_output(f"file:{tmp_path}/n/a.json")
+    assert [f.rsplit("/", 1)[-1] for f in tio.list_files(f"{tmp_path}/n", ".json")] == ["a.json"] and tio.list_files(f"{tmp_path}/nowhere") == []
+
+
 FETCHERS = """
 def news(day, options):
     return [{"title": f"t {day}"}, "junk"]
