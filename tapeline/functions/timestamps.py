@@ -40,6 +40,8 @@ _TIME = r"(?P<H>99?):(?P<M>99)(?::(?P<S>99)(?:[.,]9+)?)?|(?P<h>99)(?P<i>99)(?P<c
 _ZONE = r"(?P<o>[-+]99(?::?99)?)(?: *\[[a/_]+\])?|(?P<z>a+(?:[/_][a_/]+)?)|\[(?P<b>[a/_]+)\]"
 _SHAPES = [re.compile(rf"{day}(?:(?: *(?P<T>a) *|,? +)(?:{_TIME})(?: *(?P<p>aa|a\.a\.)(?![a/_]))?(?: *(?:{_ZONE}))?)?") for day in _DAYS]
 _COMPACT = re.compile(r"(?P<Y>9999)(?P<m>99)(?P<d>99)(?P<h>99)(?P<i>99)(?P<c>99)?(?: *(?:(?P<o>[-+]99(?::?99)?)|(?P<z>a+)))?")
+# Span of the zone tables, 1800 to 2500, and the years after which days and weekdays repeat, in seconds.
+_FIRST, _LAST, _CYCLE = -5364662400, 16725225600, 146097 * 86400
 _EPOCH = {10: 1, 13: 10**3, 16: 10**6, 19: 10**9}
 
 #: What a parser returns: seconds since 1970 (of the instant, or of the bare day's midnight), is a bare day, is valid.
@@ -64,18 +66,18 @@ def zone_version() -> str:
 
 @functools.lru_cache(maxsize=None)
 def zone_table(name: str) -> tuple[np.ndarray, np.ndarray] | None:
-    """Transitions of a zone from 1900 to 2100: instants from which an offset holds, and the offsets. None: no such zone."""
+    """Transitions of a zone from 1800 to 2500: instants from which an offset holds, and the offsets. None: no such zone."""
     try:
         zone = zoneinfo.ZoneInfo(name)
     except (zoneinfo.ZoneInfoNotFoundError, ValueError, OSError):
         return None
     epoch = datetime(1970, 1, 1, tzinfo=timezone.utc)
     at = lambda t: int((epoch + timedelta(seconds=t)).astimezone(zone).utcoffset().total_seconds())
-    low, high, step = -2208988800, 4102444800, 6 * 86400
-    starts, offsets, before = [low], [at(low)], at(low)
-    for t in range(low + step, high, step):
-        if (now := at(t)) != before:
-            a, b = t - step, t
+    starts, offsets, before = [_FIRST], [at(_FIRST)], at(_FIRST)
+    # rules that hold for a few days only lie between 1970 and 2100; after that each year has the same two changes
+    steps = [*range(_FIRST, 0, 12 * 86400), *range(0, 4102444800, 4 * 86400), *range(4102444800, _LAST, 24 * 86400), _LAST]
+    for a, b in zip(steps, steps[1:]):
+        if (now := at(b)) != before:
             while b - a > 1:
                 a, b = (mid, b) if at(mid := (a + b) // 2) == before else (a, mid)
             starts.append(b)
@@ -85,7 +87,9 @@ def zone_table(name: str) -> tuple[np.ndarray, np.ndarray] | None:
 
 
 def offset_at(table: tuple[np.ndarray, np.ndarray], instant: np.ndarray) -> np.ndarray:
-    return table[1][np.maximum(np.searchsorted(table[0], instant, side="right") - 1, 0)]
+    """Offsets at instants. Behind the table's end its last _CYCLE repeats: the last rules of a zone go by weekdays, and so do the years."""
+    beyond = np.maximum(-((_LAST - 1 - instant) // _CYCLE), 0)
+    return table[1][np.maximum(np.searchsorted(table[0], instant - beyond * _CYCLE, side="right") - 1, 0)]
 
 
 def wall_to_instant(table: tuple[np.ndarray, np.ndarray], wall: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -141,8 +145,6 @@ def _zoned(wall: np.ndarray, ok: np.ndarray, names: list[str]) -> tuple[np.ndarr
 @functools.lru_cache(maxsize=4096)
 def parser_of(mask: str) -> Callable[[list[str]], Parsed] | None:
     """The parser of all values of a shape mask; None where the shape is no timestamp."""
-    if len(mask) > 80:
-        return None
     if mask.strip("9") == "" and len(mask) in _EPOCH:
         unit = _EPOCH[len(mask)]
         return lambda values: ((cells := np.array([int(v) for v in values], dtype=np.int64)) // unit, np.zeros(len(cells), bool), np.ones(len(cells), bool))
@@ -194,8 +196,20 @@ def parser_of(mask: str) -> Callable[[list[str]], Parsed] | None:
     return parse
 
 
+#: Values from this length on are shortened before they are masked; no shape but with an unknown zone's name reaches _LONGEST then.
+_LONG, _LONGEST = 64, 400
+_RUNS = re.compile(r" {2,}")
+_FRACTION = re.compile(r"([.,][0-9]{9})[0-9]+")
+
+
+def _shortened(value: str) -> str:
+    """The same timestamp with blanks collapsed and fractions cut after nine digits, which no form shows."""
+    return _FRACTION.sub(r"\1", _RUNS.sub(" ", value))
+
+
 def parse_all(values: list[str]) -> Parsed:
     """Seconds, bare-day marks and validity of trimmed values; texts of no known shape are not valid."""
+    values = [v if len(v) <= _LONG else _shortened(v) for v in values]
     n = len(values)
     seconds, bare, ok = np.zeros(n, np.int64), np.zeros(n, bool), np.zeros(n, bool)
     masks = "\x1e".join(v.replace("\x1e", "\x1f") for v in values).translate(_MASK).split("\x1e") if n else []
@@ -203,7 +217,7 @@ def parse_all(values: list[str]) -> Parsed:
     for i, m in enumerate(masks):
         groups.setdefault(m, []).append(i)
     for mask, at in groups.items():
-        if mask.isascii() and (parse := parser_of(mask)) is not None:
+        if len(mask) <= _LONGEST and mask.isascii() and (parse := parser_of(mask)) is not None:
             index = np.array(at)
             seconds[index], bare[index], ok[index] = parse([values[i] for i in at])
     return seconds, bare, ok

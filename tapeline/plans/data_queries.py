@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapeline.functions.timestamps import zone_version
 from tapeline.io import table
 from tapeline.operators import rejects, timestamps
 
@@ -20,8 +21,9 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_unresolved(spark: SparkSession, sf: str) -> DataFrame:
-    """Values that are no timestamp: by field, with their number and the distinct rows."""
-    return _normalised(spark, sf).filter(F.col("normal_form").isNull()).groupBy("table_name", "field_name").agg(F.count(F.lit(1)).alias("unresolved_count"))
+    """Values that are no timestamp: their number by field, and the release of the zone tables that the others went by."""
+    counted = _normalised(spark, sf).filter(F.col("normal_form").isNull()).groupBy("table_name", "field_name").agg(F.count(F.lit(1)).alias("unresolved_count"))
+    return counted.withColumn("zone_data", F.lit(zone_version()))
 
 
 def _parsed(spark: SparkSession, sf: str) -> DataFrame:

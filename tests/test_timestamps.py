@@ -1,10 +1,12 @@
 from datetime import datetime, timedelta, timezone
 from zoneinfo import ZoneInfo
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from tapeline.functions import timestamps as ts
 from tapeline.functions.timestamps import offset_at, parser_of, to_local_day, to_utc_second, wall_to_instant, zone_table
 from tapeline.operators.timestamps import normalise_timestamps, resolved
 
@@ -89,3 +91,20 @@ def test_operator(spark):
     assert whole[1] == whole[2] == "2024-01-01 00:00:00" and whole[3] is whole[6] is whole[8] is None
     days = spark.createDataFrame([(1, "2024-01-02"), (2, "2024-02-30"), (3, "1/2/2024")], "id long, d string")
     assert dict(days.select("id", resolved(days, "d", "local_day")).collect()) == {1: "2024-01-02", 2: None, 3: "2024-01-02"}
+
+
+def test_nothing_is_lost_by_length_or_year():
+    long = ["2024-07-01T12:00:00." + "1" * 70 + "Z", "2024-07-01" + " " * 500 + "12:00", "Wednesday, September 30, 2026 12:34:56.123456789 p.m. [America/Argentina/ComodRivadavia]", "x" * 100_000, "9" * 5000, "2024-07-01 12:00 " + "a/" * 300]
+    assert ts.to_utc_second(long) == ["2024-07-01 12:00:00", "2024-07-01 12:00:00", "2026-09-30 15:34:56", None, None, None]
+    assert ts.to_utc_second(["2150-07-01 12:00 ET", "2150-01-01 12:00 ET", "9150-07-01 12:00 ET", "1880-07-01 12:00 ET"]) == ["2150-07-01 16:00:00", "2150-01-01 17:00:00", "9150-07-01 16:00:00", "1880-07-01 16:56:02"]
+
+
+def test_zone_tables_against_the_zone_data():
+    import zoneinfo
+    from datetime import datetime, timedelta, timezone
+
+    rng, epoch = np.random.default_rng(0), datetime(1970, 1, 1, tzinfo=timezone.utc)
+    for name in ("America/New_York", "Asia/Gaza", "Africa/Casablanca", "Australia/Lord_Howe"):
+        zone, instants = zoneinfo.ZoneInfo(name), rng.integers(-5364662400, 100_000_000_000, 5000)
+        want = [int((epoch + timedelta(seconds=int(i))).astimezone(zone).utcoffset().total_seconds()) for i in instants]
+        assert ts.offset_at(ts.zone_table(name), instants).tolist() == want
