@@ -1,8 +1,9 @@
 """Price lines: valid rows and, apart from them, each failing line with its reason.
 
-A block of lines goes through a bulk columnar parse first. Where the block as a whole doesn't pass, it is
-halved again and again until the bad records stand alone; only those few lines are read by the strict,
-character-by-character reader, which alone decides about a failure and its reason.
+A block of lines goes through a bulk columnar parse first, plain lines and properly quoted ones each by a reader of
+their kind. Where a block can't be parsed, it is halved again and again until the bad records stand alone. What is
+parsed is checked by whole columns. Only lines that fall out of the shape, the parse or a check are read by the
+strict, character-by-character reader, which alone decides about a failure and its reason.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import re
 from collections.abc import Iterator
 from datetime import date
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.csv as pacsv
@@ -24,10 +26,12 @@ REASONS = ("quoting", "column_count", "date", "symbol", "close")
 LEAF = 8
 _DAY = re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}")
 _DECIMAL = re.compile(r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?")
-_CLOSE = r"^[ \t]*\+?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]{1,2})?[ \t]*$"
+#: The whole shape of a line with quoted fields, and values that the bulk checks take for valid; others are read strictly.
+_QUOTED_LINE = r'^(?:"(?:[^"]|"")*"|[^",]*)(?:,(?:"(?:[^"]|"")*"|[^",]*)){7}$'
+_PLAIN_DAY, _PLAIN_CLOSE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$", r"^[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]{1,2})?$"
 _READ = pacsv.ReadOptions(column_names=list(COLUMNS), use_threads=False, block_size=1 << 24)
-_PARSE = pacsv.ParseOptions(quote_char=False, escape_char=False, newlines_in_values=False, ignore_empty_lines=False)
-_CONVERT = pacsv.ConvertOptions(column_types=dict.fromkeys(COLUMNS, pa.string()), include_columns=["date", "symbol", "close"], strings_can_be_null=False, check_utf8=False)
+_PARSE = {quoted: pacsv.ParseOptions(quote_char='"' if quoted else False, double_quote=quoted, escape_char=False, newlines_in_values=False, ignore_empty_lines=False) for quoted in (False, True)}
+_CONVERT = pacsv.ConvertOptions(column_types=dict.fromkeys(COLUMNS, pa.string()), include_columns=["date", "symbol", "close"], strings_can_be_null=False, quoted_strings_can_be_null=False, check_utf8=False)
 _OUT = pa.schema([("line_id", pa.int64()), ("reason", pa.string()), ("date", pa.date32()), ("symbol", pa.string()), ("close", pa.float64())])
 
 
@@ -86,51 +90,79 @@ def diagnose(line: str | None, symbols: frozenset[str]) -> tuple[str | None, dat
     return None, when, symbol, value
 
 
-def _bulk(lines: pa.Array, symbols: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array] | None:
-    """Dates, symbols and closes of a block, or None where any of its lines is not plainly valid."""
-    if lines.null_count:
-        return None
-    n = len(lines)
-    block = "\n".join(lines.to_pylist()) + "\n"
-    if '"' in block or block.count("\n") != n:
-        return None
-    try:
-        t = pacsv.read_csv(pa.BufferReader(block.replace("\r\n", "\n").encode()), _READ, _PARSE, _CONVERT).combine_chunks()
-        if t.num_rows != n:
-            return None
-        days = pc.cast(t["date"], pa.date32())
-        close = t["close"]
-        if not pc.all(pc.match_substring_regex(close, _CLOSE)).as_py() or not pc.all(pc.equal(pc.utf8_length(t["date"]), 10)).as_py():
-            return None
-        values = pc.cast(pc.utf8_trim_whitespace(close), pa.float64())
-    except (pa.ArrowInvalid, UnicodeError):
-        return None
-    names = pc.utf8_upper(pc.utf8_trim_whitespace(t["symbol"]))
-    names = pc.if_else(pc.equal(names, "VIX"), "^VIX", names)
-    if not (pc.all(pc.is_in(names, value_set=symbols)).as_py() and pc.all(pc.greater(values, 0.0)).as_py() and pc.all(pc.is_finite(values)).as_py() and pc.min(pc.year(days)).as_py() >= 1):
-        return None
-    return days, names, values
+def _bulk(lines: pa.Array, quoted: bool) -> list[tuple[int, int, pa.Table | None]]:
+    """(from, to, date, symbol and close as text) of the lines in order; no table where LEAF lines or fewer can't be parsed."""
+    out, waiting = [], [(0, len(lines))]
+    while waiting:
+        a, b = waiting.pop()
+        table = None
+        try:
+            some = lines.slice(a, b - a)
+            block = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), some), "\n")[0].as_buffer()
+            table = pacsv.read_csv(pa.BufferReader(block), _READ, _PARSE[quoted], _CONVERT)
+        except pa.ArrowInvalid:
+            pass
+        if table is not None and table.num_rows == b - a:
+            out.append((a, b, table))
+        elif b - a <= LEAF:
+            out.append((a, b, None))
+        else:
+            mid = (a + b) // 2
+            waiting += [(mid, b), (a, mid)]
+    return out
+
+
+def _days(text: pa.ChunkedArray, shaped: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(days, which of them exist) of ISO days; those not `shaped` so don't."""
+    iso = pc.if_else(pa.array(shaped), text, "0001-01-01")
+    y, m, d = (pc.cast(pc.utf8_slice_codeunits(iso, a, b), pa.int64()).to_numpy() for a, b in ((0, 4), (5, 7), (8, 10)))
+    inside = shaped & (y >= 1) & (m >= 1) & (m <= 12) & (d >= 1)
+    month = ((y - 1970) * 12 + np.where(inside, m, 1) - 1).astype("datetime64[M]")
+    length = ((month + 1).astype("datetime64[D]") - month.astype("datetime64[D]")).astype(np.int64)
+    return month.astype("datetime64[D]") + (d - 1), inside & (d <= length)
+
+
+def _checked(table: pa.Table, symbols: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(valid, dates, symbols, closes) of parsed columns."""
+    day, close = pc.utf8_trim_whitespace(table["date"]), pc.utf8_trim_whitespace(table["close"])
+    name = pc.utf8_upper(pc.utf8_trim_whitespace(table["symbol"]))
+    name = pc.if_else(pc.equal(name, "VIX"), "^VIX", name)
+    days, real = _days(day, pc.match_substring_regex(day, _PLAIN_DAY).to_numpy())
+    number = pc.match_substring_regex(close, _PLAIN_CLOSE)
+    value = pc.cast(pc.if_else(number, close, "0"), pa.float64()).to_numpy()
+    valid = real & pc.is_in(name, value_set=symbols).to_numpy() & (value > 0) & np.isfinite(value)
+    return valid, days, name.to_numpy(), value
 
 
 def parse_block(ids: pa.Array, lines: pa.Array, symbols: frozenset[str]) -> pa.Table:
     """One row per line, in order: the reason of the failure, or date, symbol and close."""
-    known, parts = pa.array(sorted(symbols), pa.string()), []
-
-    def halve(a: int, b: int) -> None:
-        if b - a > LEAF:
-            good = _bulk(lines.slice(a, b - a), known)
-            if good is not None:
-                parts.append(pa.table([ids.slice(a, b - a), pa.nulls(b - a, pa.string()), *good], schema=_OUT))
-                return
-            mid = (a + b) // 2
-            halve(a, mid)
-            halve(mid, b)
-        elif b > a:
-            rows = [diagnose(x, symbols) for x in lines.slice(a, b - a).to_pylist()]
-            parts.append(pa.table([ids.slice(a, b - a), *(pa.array(c, kind.type) for c, kind in zip(zip(*rows), list(_OUT)[1:]))], schema=_OUT))
-
-    halve(0, len(lines))
-    return pa.concat_tables(parts) if parts else _OUT.empty_table()
+    n, known = len(lines), pa.array(sorted(symbols), pa.string())
+    if not n:
+        return _OUT.empty_table()
+    reason, day, name, close = np.full(n, None, object), np.full(n, "NaT", "datetime64[D]"), np.full(n, None, object), np.zeros(n)
+    good = np.zeros(n, bool)
+    body = pc.replace_substring_regex(lines, "\r$", "")
+    flag = lambda x: x.fill_null(False).to_numpy(zero_copy_only=False)
+    one_line = flag(pc.invert(pc.match_substring_regex(body, "[\r\n]")))
+    has_quote = flag(pc.match_substring(body, '"'))
+    eight = flag(pc.equal(pc.count_substring(body, ","), len(COLUMNS) - 1))
+    shaped = {False: one_line & ~has_quote & eight, True: one_line & has_quote}
+    if shaped[True].any():
+        at = np.flatnonzero(shaped[True])
+        shaped[True][at] = flag(pc.match_substring_regex(body.take(pa.array(at)), _QUOTED_LINE))
+    for quoted, mask in shaped.items():
+        at = np.flatnonzero(mask)
+        for a, b, table in _bulk(body.take(pa.array(at)), quoted) if len(at) else ():
+            if table is not None:
+                here = at[a:b]
+                good[here], day[here], name[here], close[here] = _checked(table, known)
+    rest = np.flatnonzero(~good)
+    for i, line in zip(rest.tolist(), lines.take(pa.array(rest)).to_pylist()):
+        why, when, symbol, value = diagnose(line, symbols)
+        reason[i], name[i] = why, symbol
+        day[i], close[i], good[i] = (np.datetime64("NaT") if when is None else np.datetime64(when)), value or 0.0, why is None
+    columns = pa.array(reason, pa.string()), pa.array(day, pa.date32(), mask=~good), pa.array(name, pa.string(), mask=~good), pa.array(close, pa.float64(), mask=~good)
+    return pa.table([ids, *columns], schema=_OUT)
 
 
 def parse_price_lines(lines: DataFrame, symbols: DataFrame, id_column: str = "line_id", line_column: str = "line", max_symbols: int = 1_000_000) -> DataFrame:
