@@ -101,8 +101,11 @@ def clean_headlines(rows: DataFrame, calendar: DataFrame | None = None, title: s
     """`rows` with normalised_title, seendate_ny, published_date_ny and trading_day, '' where there is none.
 
     Without a calendar weekends are skipped. With one, a target day outside of it has no trading day; `strict`
-    makes that an error that names the first such day. Existing columns of those names are replaced.
+    makes that an error that names the first such day. Existing columns of those names are replaced. Rows without a
+    title column have their title in `headline`; an empty title stays one.
     """
+    if title not in rows.columns and "headline" in rows.columns:
+        title = "headline"
     utc = dates.utc_timestamp(F.col(f"`{seendate}`"))
     out = rows.drop(*DERIVED).withColumn("_utc", utc).withColumn("_ny", dates.in_new_york(F.col("_utc"))).withColumn("_target", dates.target_date(F.col("_ny")))
     if calendar is None:
@@ -131,13 +134,14 @@ def uncovered_days(rows: DataFrame, calendar: DataFrame, seendate: str = "seenda
     return counted.join(F.broadcast(span), (F.col("target_date") < F.col("_low")) | (F.col("target_date") > F.col("_high"))).select("target_date", "n")  # span: one row
 
 
-def dedupe_day() -> Column:
-    return _first_filled(F.col("published_date_ny"), F.col("trading_day"))
+def dedupe_day(columns: Sequence[str]) -> Column:
+    """The first filled one of published_date_ny, date and trading_day; columns that aren't there are passed over."""
+    return _first_filled(*(F.col(c) for c in ("published_date_ny", "date", "trading_day") if c in columns))
 
 
 def dedupe_exact(cleaned: DataFrame, order: str, domain: str = "domain") -> DataFrame:
     """Cleaned headlines, the first by `order` of each (day, normalised title, domain). Nulls in the domain are ''."""
-    return first_of_each(cleaned, [dedupe_day(), F.col("normalised_title"), domain_key(F.col(domain))], [order])
+    return first_of_each(cleaned, [dedupe_day(cleaned.columns), F.col("normalised_title"), domain_key(F.col(domain))], [order])
 
 
 def dedupe_fuzzy(cleaned: DataFrame, order: str, threshold: float = 0.96, domain: str = "domain") -> DataFrame:
@@ -150,7 +154,7 @@ def dedupe_fuzzy(cleaned: DataFrame, order: str, threshold: float = 0.96, domain
     """
     if not 0 <= threshold <= 1:
         raise ValueError("threshold must be between 0 and 1")
-    exact = dedupe_exact(cleaned, order, domain).withColumn("_day", dedupe_day()).withColumn("_domain", domain_key(F.col(domain)))
+    exact = dedupe_exact(cleaned, order, domain).withColumn("_day", dedupe_day(cleaned.columns)).withColumn("_domain", domain_key(F.col(domain)))
     keys = ["_day", "_domain"]
     slim = exact.select(*keys, F.col(order).alias("_o"), "normalised_title").persist(StorageLevel.MEMORY_AND_DISK)
     several = slim.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")

@@ -63,7 +63,7 @@ def test_exact_and_fuzzy(spark):
 def test_fuzzy_agrees_with_brute_force(spark, sf):
     clean = headlines.clean_headlines(spark.read.parquet(f"{sf}/headlines.parquet")).filter("headline_id is not null")
     got = {r[0] for r in headlines.dedupe_fuzzy(clean, "headline_id").select("headline_id").collect()}
-    rows = sorted(headlines.dedupe_exact(clean, "headline_id").select("headline_id", headlines.dedupe_day().alias("d"), F.lower(F.coalesce(F.trim("domain"), F.lit(""))).alias("m"), "normalised_title").collect())
+    rows = sorted(headlines.dedupe_exact(clean, "headline_id").select("headline_id", headlines.dedupe_day(clean.columns).alias("d"), F.lower(F.coalesce(F.trim("domain"), F.lit(""))).alias("m"), "normalised_title").collect())
     kept: dict = {}
     for i, d, m, title in rows:
         if not any(SequenceMatcher(None, title, k).ratio() >= 0.96 for _, k in kept.get((d, m), [])):
