@@ -1,13 +1,15 @@
 """OLS with heteroskedasticity- and autocorrelation-robust errors, from distributed cross products.
 
-The design never comes to the driver: its orthogonal factor R (k x k), the Gram matrix and the lagged score
-products (k x k each, one per lag) are aggregates; only they are solved there.
+The design never comes to the driver: the triangular factor of design and dependent (k + 1 numbers square) and the
+weighted sum of lagged score products (k square) of every model are aggregates; only they are solved there. All
+models of a panel go through the same two jobs.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -17,6 +19,7 @@ from pyspark.sql import types as T
 
 from tapeline.checks import CheckError, require_columns
 from tapeline.config import HORIZONS, VOL_WINDOW
+from tapeline.session import cut_lineage
 
 SCHEMA = T.StructType([
     T.StructField("model", T.StringType()), T.StructField("horizon", T.IntegerType()), T.StructField("dependent", T.StringType()), T.StructField("term", T.StringType()),
@@ -25,6 +28,7 @@ SCHEMA = T.StructType([
 ])
 
 
+# The models, their dependent variables and regressors in order.
 def model_specs(horizon: int, index_column: str, vol_window: int = VOL_WINDOW) -> list[tuple[str, str, list[str]]]:
     """(model, dependent, regressors) of the three models of a horizon."""
     lag, vol = f"spy_lag_log_return_{horizon}d", f"spy_lag_realized_vol_{vol_window}d"
@@ -35,92 +39,119 @@ def model_specs(horizon: int, index_column: str, vol_window: int = VOL_WINDOW) -
     ]
 
 
-def design(panel: DataFrame, dependent: str, regressors: Sequence[str], order: str = "date") -> DataFrame:
-    """(order, y, x0..xk): complete rows only, x0 the constant; infinite and NaN values count as missing."""
-    require_columns(panel, (order, dependent, *regressors), "regression")
+@dataclass(frozen=True)
+class Model:
+    dependent: str
+    regressors: tuple[str, ...]
+    maxlags: int
+    context: str = "regression"
+
+    def complete(self, batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """(design with its constant, dependent) of the rows that lack nothing."""
+        rows = batch[[self.dependent, *self.regressors]].dropna().to_numpy(float)
+        return np.column_stack([np.ones(len(rows)), rows[:, 1:]]), rows[:, 0]
+
+
+def variables(panel: DataFrame, names: Sequence[str], order: str = "date") -> DataFrame:
+    """(order, names...) as doubles; infinite and NaN values count as missing."""
+    require_columns(panel, (order, *names), "regression")
 
     def clean(c: str):
         v = F.col(f"`{c}`").try_cast("double")
-        return F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)
+        return F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v).alias(c)
 
-    return panel.select(order, clean(dependent).alias("y"), F.lit(1.0).alias("x0"), *(clean(c).alias(f"x{i}") for i, c in enumerate(regressors, 1))).dropna()
+    return panel.select(order, *map(clean, names))
 
 
-def _factor(rows: DataFrame, k: int) -> np.ndarray:
-    """R of a QR of the design: a factor per partition, then one of the stacked factors (k rows each)."""
+def _factors(rows: DataFrame, models: Sequence[Model]) -> list[tuple[int, np.ndarray]]:
+    """(complete rows, R of a QR of design and dependent) of each model: a factor per partition, then one of the stacked ones."""
 
     def local(batches):
-        r = np.zeros((0, k))
+        n, r = [0] * len(models), [np.zeros((0, len(m.regressors) + 2)) for m in models]
         for b in batches:
-            r = np.linalg.qr(np.vstack([r, b[[f"x{i}" for i in range(k)]].to_numpy(float)]), mode="r")
-        yield pd.DataFrame({"r": [r.ravel().tolist()] if r.size else []})
+            for i, m in enumerate(models):
+                x, y = m.complete(b)
+                n[i] += len(y)
+                r[i] = np.linalg.qr(np.vstack([r[i], np.column_stack([x, y])]), mode="r")
+        yield pd.DataFrame({"model": range(len(models)), "n": n, "r": [x.ravel().tolist() for x in r]})
 
-    parts = rows.select(*(f"x{i}" for i in range(k))).mapInPandas(local, "r array<double>").collect()  # k * k numbers per partition
-    stacked = np.vstack([np.array(p[0]).reshape(-1, k) for p in parts if len(p[0])]) if parts else np.zeros((0, k))
-    return np.linalg.qr(stacked, mode="r") if len(stacked) else stacked
+    parts = rows.mapInPandas(local, "model int, n long, r array<double>").collect()  # a few numbers per partition and model
+    out = []
+    for i, m in enumerate(models):
+        k, mine = len(m.regressors) + 2, [p for p in parts if p.model == i]
+        stacked = np.vstack([np.zeros((0, k)), *(np.array(p.r).reshape(-1, k) for p in mine)])
+        out.append((sum(p.n for p in mine), np.linalg.qr(stacked, mode="r") if len(stacked) else stacked))
+    return out
 
 
-def _meat(scored: DataFrame, order: str, k: int, maxlags: int) -> np.ndarray:
-    """Sum of score products, lagged ones with Bartlett weights, over rows in order.
+def _meats(rows: DataFrame, models: Sequence[Model], betas: Sequence[np.ndarray], order: str) -> list[np.ndarray]:
+    """Sums of score products of each model, lagged ones with Bartlett weights, over its complete rows in order.
 
-    A design has one row per day, so one task reads them all; it streams, holding `maxlags` rows besides its batch.
+    A panel has one row per day, so one task reads them all; it streams, holding `maxlags` rows per model besides its batch.
     """
-    columns = [f"u{i}" for i in range(k)]
 
     def add_up(batches):
-        total, tail = np.zeros((k, k)), np.zeros((0, k))
+        total = [np.zeros((len(b), len(b))) for b in betas]
+        tail = [np.zeros((0, len(b))) for b in betas]
         for b in batches:
-            u = b[columns].to_numpy(float)
-            joined = np.vstack([tail, u])
-            total += u.T @ u
-            for lag in range(1, maxlags + 1):
-                now = joined[max(len(tail), lag) :]
-                gamma = now.T @ joined[max(len(tail), lag) - lag : len(joined) - lag]
-                total += (1 - lag / (maxlags + 1)) * (gamma + gamma.T)
-            tail = joined[len(joined) - min(maxlags, len(joined)) :]
-        yield pd.DataFrame({"m": [total.ravel().tolist()]})
-
-    return np.array(scored.repartition(1).sortWithinPartitions(order).select(*columns).mapInPandas(add_up, "m array<double>").first()[0]).reshape(k, k)
+            for i, (m, beta) in enumerate(zip(models, betas)):
+                x, y = m.complete(b)
+                u = x * (y - x @ beta)[:, None]
+                joined = np.vstack([tail[i], u])
+                total[i] += u.T @ u
+                for lag in range(1, m.maxlags + 1):
+                    first = max(len(tail[i]), lag)
+                    gamma = joined[first:].T @ joined[first - lag : len(joined) - lag]
+                    total[i] += (1 - lag / (m.maxlags + 1)) * (gamma + gamma.T)
+                tail[i] = joined[max(0, len(joined) - m.maxlags) :] if m.maxlags else tail[i]
+        yield pd.DataFrame({"model": range(len(models)), "m": [t.ravel().tolist() for t in total]})
+
+    got = {r.model: r.m for r in rows.repartition(1).sortWithinPartitions(order).mapInPandas(add_up, "model int, m array<double>").collect()}
+    return [np.array(got[i]).reshape(len(b), len(b)) for i, b in enumerate(betas)]
+
+
+def fit_all(panel: DataFrame, models: Sequence[Model], order: str = "date") -> list[dict]:
+    """Coefficients, HAC errors (Bartlett weights, no small-sample factor) and normal p-values of each model.
+
+    Every design is checked before anything is solved: too few complete rows, or columns that depend on each other,
+    are errors that name the model.
+    """
+    rows = cut_lineage(variables(panel, list(dict.fromkeys(v for m in models for v in (m.dependent, *m.regressors))), order))
+    solved = []
+    for m, (n, r) in zip(models, _factors(rows, models)):
+        k = len(m.regressors) + 1
+        if not n:
+            raise CheckError(f"{m.context}: no complete rows")
+        if n <= k:
+            raise CheckError(f"{m.context} is underidentified: {n} complete rows for {k} parameters")
+        square = r[:k, :k]
+        singular = np.linalg.svd(square, compute_uv=False)
+        rank = int((singular > singular.max() * max(n, k) * np.finfo(float).eps).sum())
+        if rank < k:
+            raise CheckError(f"{m.context} has a rank-deficient design: rank {rank} for {k} parameters")
+        inner = np.linalg.inv(square)
+        solved.append((n, inner @ r[:k, k], inner @ inner.T))  # the last is (X'X)^-1 without squaring the condition number
+    out = []
+    for m, (n, beta, bread), meat in zip(models, solved, _meats(rows, models, [b for _, b, _ in solved], order)):
+        error = np.sqrt(np.diag(bread @ meat @ bread))
+        t = beta / error
+        out.append({"terms": ["const", *m.regressors], "coefficient": beta, "std_error": error, "t_value": t, "p_value": np.array([math.erfc(abs(v) / math.sqrt(2)) for v in t]), "n": n, "maxlags": m.maxlags})
+    return out
 
 
 def fit(panel: DataFrame, dependent: str, regressors: Sequence[str], maxlags: int, context: str = "regression", order: str = "date") -> dict:
-    """Coefficients, HAC errors (Bartlett weights, no small-sample factor) and normal p-values."""
-    names = ["const", *regressors]
-    k = len(names)
-    rows = design(panel, dependent, regressors, order).persist()
-    x = [F.col(f"x{i}") for i in range(k)]
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    sums = rows.agg(F.count(F.lit(1)).alias("n"), *(F.sum(x[i] * x[j]).alias(f"g{i}_{j}") for i, j in pairs), *(F.sum(x[i] * F.col("y")).alias(f"y{i}") for i in range(k))).first()
-    n = sums["n"]
-    if not n:
-        raise CheckError(f"{context}: no complete rows")
-    if n <= k:
-        raise CheckError(f"{context} is underidentified: {n} complete rows for {k} parameters")
-    r = _factor(rows, k)
-    singular = np.linalg.svd(r, compute_uv=False)
-    rank = int((singular > singular.max() * max(n, k) * np.finfo(float).eps).sum())
-    if rank < k:
-        raise CheckError(f"{context} has a rank-deficient design: rank {rank} for {k} parameters")
-    xy = np.array([sums[f"y{i}"] for i in range(k)])
-    inner = np.linalg.inv(r)
-    bread = inner @ inner.T  # (X'X)^-1 without squaring the condition number
-    beta = bread @ xy
-    scored = rows.withColumn("e", F.col("y") - sum(x[i] * float(beta[i]) for i in range(k))).select(order, *((F.col("e") * x[i]).alias(f"u{i}") for i in range(k)))
-    meat = _meat(scored, order, k, maxlags)
-    rows.unpersist()
-    error = np.sqrt(np.diag(bread @ meat @ bread))
-    t = beta / error
-    return {"terms": names, "coefficient": beta, "std_error": error, "t_value": t, "p_value": np.array([math.erfc(abs(v) / math.sqrt(2)) for v in t]), "n": n, "maxlags": maxlags}
+    """fit_all() of one model."""
+    return fit_all(panel, [Model(dependent, tuple(regressors), maxlags, context)], order)[0]
 
 
 def regression_rows(panel: DataFrame, index_column: str, horizons: Sequence[int] = HORIZONS, vol_window: int = VOL_WINDOW) -> list[tuple]:
     """All models of all horizons, computed before anything is returned."""
+    specs = [(h, *spec) for h in horizons for spec in model_specs(h, index_column, vol_window)]
+    fits = fit_all(panel, [Model(dependent, tuple(regressors), h - 1, f"{model} regression, horizon {h}") for h, model, dependent, regressors in specs])
     out = []
-    for h in horizons:
-        for model, dependent, regressors in model_specs(h, index_column, vol_window):
-            f = fit(panel, dependent, regressors, h - 1, f"{model} regression, horizon {h}")
-            formula = f"{dependent} ~ {' + '.join(regressors)}"
-            out += [(model, h, dependent, term, *(float(f[c][i]) for c in ("coefficient", "std_error", "t_value", "p_value")), int(f["n"]), h - 1, formula) for i, term in enumerate(f["terms"])]
+    for (h, model, dependent, regressors), f in zip(specs, fits):
+        formula = f"{dependent} ~ {' + '.join(regressors)}"
+        out += [(model, h, dependent, term, *(float(f[c][i]) for c in ("coefficient", "std_error", "t_value", "p_value")), int(f["n"]), h - 1, formula) for i, term in enumerate(f["terms"])]
     return out
 
 
