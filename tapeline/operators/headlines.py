@@ -68,13 +68,18 @@ def article_keys(day: Column) -> list[Column]:
     return [day, F.coalesce(F.nullif(title, F.lit("")), url), domain_key(F.col("domain"))]
 
 
-def flatten_payload(payload: DataFrame, query_type: str | None = None) -> DataFrame:
-    """Payload rows (schema PAYLOAD) to articles, in order, filtered by language, the first of each key kept."""
-    blocks = payload.select(F.col("query_type").alias("_type"), _or_empty(F.col("source_language")).alias("_language"), F.posexplode("responses").alias("_b", "block"))
-    articles = blocks.filter("block is not null").select("_type", "_language", "_b", _or_empty(F.col("block.date")).alias("_day"), F.posexplode("block.response.articles").alias("_a", "article"))
-    rows = article_rows(articles, ("_type", "_language", "_b", "_a", "_day")).filter(~F.lower(strip(F.col("_language"))).isin(*ENGLISH) | F.lower(strip(F.col("language"))).isin("", *ENGLISH))
-    first = first_of_each(rows, [F.col("_type"), *article_keys(F.col("_day"))], ["_b", "_a"])
-    return first.orderBy("_b", "_a").select("title", "url", "domain", "source", "seendate", "language", (F.lit(query_type) if query_type else F.col("_type")).alias("query_type"))
+def flatten_payload(payload: DataFrame, query_type: str | None = None, order: Sequence[str] = (), keep: Sequence[str] = ()) -> DataFrame:
+    """Payload rows (schema PAYLOAD) to articles, in order, filtered by language, the first of each key kept.
+
+    `order`: columns that put several payload rows in order; `keep`: columns that are passed on. Blocks, responses and
+    articles that are null give nothing.
+    """
+    more = list(dict.fromkeys([*order, *keep]))
+    blocks = payload.select(*more, F.col("query_type").alias("_type"), _or_empty(F.col("source_language")).alias("_language"), F.posexplode("responses").alias("_b", "block"))
+    articles = blocks.filter("block is not null").select(*more, "_type", "_language", "_b", _or_empty(F.col("block.date")).alias("_day"), F.posexplode("block.response.articles").alias("_a", "article"))
+    rows = article_rows(articles, (*more, "_type", "_language", "_b", "_a", "_day")).filter(~F.lower(strip(F.col("_language"))).isin(*ENGLISH) | F.lower(strip(F.col("language"))).isin("", *ENGLISH))
+    first = first_of_each(rows, [F.col("_type"), *article_keys(F.col("_day"))], [*order, "_b", "_a"])
+    return first.orderBy(*order, "_b", "_a").select(*keep, "title", "url", "domain", "source", "seendate", "language", (F.lit(query_type) if query_type else F.col("_type")).alias("query_type"))
 
 
 def flatten_deliveries(deliveries: DataFrame, source_language: str = "english", order: str = "raw_id", day: str = "date", payload: str = "payload") -> DataFrame:

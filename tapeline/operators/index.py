@@ -96,6 +96,12 @@ def rolling_zscore(value: Column, order: str, window: int = ROLLING_WINDOW) -> C
     return F.when((F.count(value).over(over) == window) & (F.max(value).over(over) > F.min(value).over(over)), (value - F.avg(value).over(over)) / spread)
 
 
+def numerator_violations(market: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(day, candidates, market): days with more counted candidates than market rows, where there are any."""
+    both = daily_counts(market, "market").join(daily_counts(candidates.filter("counts"), "candidates"), "day")
+    return both.filter("candidates > market").select("day", "candidates", "market")
+
+
 def daily_index(market: DataFrame, candidates: DataFrame, window: int = ROLLING_WINDOW, index_name: str = "narrative_index", categories: bool | None = None, strict: bool = True) -> DataFrame:
     """One row per market day: counts, the index (their ratio) and its rolling z-score, ordered by day.
 
@@ -113,7 +119,7 @@ def daily_index(market: DataFrame, candidates: DataFrame, window: int = ROLLING_
     names = ["raw_criticism_count", *(f"raw_criticism_count_{c}" for c in CATEGORIES if categories)]
     days = days.withColumns({n: F.coalesce(n, F.lit(0)).cast("long") for n in names})
     if strict:
-        fail_on(days.filter("raw_criticism_count > total_market_article_count"), lambda r: f"more candidates than market rows on {r['day']}", "day")
+        fail_on(numerator_violations(market, candidates), lambda r: f"more candidates than market rows on {r['day']}", "day")
     ratio = lambda n: F.try_divide(F.col(n).cast("double"), F.col("total_market_article_count").cast("double"))
     days = days.withColumn(index_name, ratio("raw_criticism_count")).withColumn(f"{index_name}_rolling_{window}d_zscore", rolling_zscore(F.col(index_name), "day", window))
     by_category = [x for c in CATEGORIES if categories for x in (F.col(f"raw_criticism_count_{c}"), ratio(f"raw_criticism_count_{c}").alias(f"{index_name}_{c}"))]

@@ -59,14 +59,45 @@ def price_conflicts(prices: DataFrame) -> DataFrame:
     return prices.groupBy("date", "symbol").agg(F.countDistinct(F.coalesce("price", F.lit(-1.0))).alias("prices")).filter("prices > 1")
 
 
+def missing_symbols(prices: DataFrame, symbols: DataFrame, by: str | None = None) -> DataFrame:
+    """([by,] symbol): the symbols of a frame (column `symbol`) that have no row in `prices`, in each value of `by` if given."""
+    wanted = symbols.select(canonical_symbol(F.col("symbol")).alias("symbol")).filter("symbol != ''").distinct()
+    keys = ["symbol"] if by is None else [by, "symbol"]
+    if by is not None:
+        wanted = prices.select(by).distinct().join(F.broadcast(wanted))  # some symbols per period
+    return wanted.join(prices.select(*keys).distinct(), keys, "left_anti").select(*keys)
+
+
+def unusable_prices(long: DataFrame, order: str) -> DataFrame:
+    """(order, symbol, text): rows whose price is no positive finite number."""
+    return long.filter("price is null").select(order, "symbol", "text")
+
+
+def repeated_days(rows: DataFrame, date: str = "date") -> DataFrame:
+    """(date, n): days that stand more than once."""
+    return rows.groupBy(F.col(date).alias("date")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+
+def first_prices(long: DataFrame, order: str) -> DataFrame:
+    """(date, symbol, price): of each day and symbol the price of its first row by `order`; rows without a day or price are passed over."""
+    return long.filter("date is not null and price is not null").groupBy("date", "symbol").agg(F.min_by("price", order).alias("price"))
+
+
+def carried_forward(full: DataFrame) -> DataFrame:
+    """(date, symbol, price) of a grid, gaps filled with the last price before them."""
+    before = Window.partitionBy("symbol").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    return full.select("date", "symbol", F.last("price", ignorenulls=True).over(before).alias("price"))
+
+
 def checked_prices(rows: DataFrame, order: str, symbols: Sequence[str] = SYMBOLS) -> DataFrame:
     """(date, symbol, price), one row each. Refuses undated rows, bad prices, absent symbols and conflicting repeats."""
     long = select_prices(rows, order)
     fail_on(long.filter("date is null"), lambda r: f"prices has a row without a usable date: {order} {r[order]}", order)
-    present = {r[0] for r in long.filter(F.col("symbol").isin(*symbols)).select("symbol").distinct().collect()}  # at most len(symbols)
-    if missing := [s for s in canonical_symbols(symbols) if s not in present]:
-        raise CheckError(f"prices lacks required symbols: {', '.join(missing)}")
-    fail_on(long.filter("price is null"), lambda r: f"prices has an unusable price: {order} {r[order]} value {r['text']!r}", order)
+    required = rows.sparkSession.createDataFrame([(x,) for x in canonical_symbols(symbols)], "symbol string")
+    absent = [r[0] for r in missing_symbols(long, required).collect()]  # at most len(symbols)
+    if absent:
+        raise CheckError(f"prices lacks required symbols: {', '.join(x for x in canonical_symbols(symbols) if x in absent)}")
+    fail_on(unusable_prices(long, order), lambda r: f"prices has an unusable price: {order} {r[order]} value {r['text']!r}", order)
     fail_on(price_conflicts(long), lambda r: f"conflicting prices for {r['symbol']} on {r['date']}", "date", "symbol")
     return long.groupBy("date", "symbol").agg(F.min("price").alias("price"))
 
@@ -149,7 +180,7 @@ def coverage_gaps(index_days: DataFrame, full: DataFrame, symbols: Sequence[str]
 
 def build_panel(index: DataFrame, prices: DataFrame, symbols: Sequence[str] = SYMBOLS, horizons: Sequence[int] = HORIZONS, vol_window: int = VOL_WINDOW, strict: bool = True) -> DataFrame:
     """The index rows, all of them and in order, with the market features of their day."""
-    fail_on(index.groupBy("date").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), lambda r: f"the index has {r['date']} more than once", "date")
+    fail_on(repeated_days(index), lambda r: f"the index has {r['date']} more than once", "date")
     full = grid(prices, symbols).withColumn("date", F.col("date").cast("string"))
     if strict:
         fail_on(coverage_gaps(index, full, symbols, horizons, vol_window), lambda r: f"{r['problem']}: {r['symbol'] or 'all symbols'} on {r['date']}", "date", "symbol")

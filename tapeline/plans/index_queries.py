@@ -21,8 +21,8 @@ DIGITS = 6
 
 
 def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
-    """Doubles rounded, so that two engines' last bits don't matter."""
-    return df.select(*(F.round(F.col(f"`{c}`"), digits).alias(c) if kind == "double" else F.col(f"`{c}`") for c, kind in df.dtypes))
+    """Doubles rounded, so that two engines' last bits don't matter; no negative zeros."""
+    return df.select(*((F.round(F.col(f"`{c}`"), digits) + F.lit(0.0)).alias(c) if kind == "double" else F.col(f"`{c}`") for c, kind in df.dtypes))
 
 
 # --- headlines ---------------------------------------------------------------------------------------------
@@ -159,17 +159,19 @@ def selected_prices(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(_split_lines(spark, sf).select("line_id", "date", "symbol", "price"))
 
 
+def _filled_panel(spark: SparkSession, sf: str) -> DataFrame:
+    """The panel on series whose gaps carry the last price forward: a complete row needs 22 days without one."""
+    filled = prices.carried_forward(prices.grid(_series(spark, sf), PANEL_SYMBOLS))
+    return prices.build_panel(_order_index(spark, sf), filled, PANEL_SYMBOLS, strict=False)
+
+
 def event_study(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(events.event_study(_panel(spark, sf), ZSCORE)).withColumn("relative_day", F.col("relative_day").cast("long"))
 
 
 def ols_hac(spark: SparkSession, sf: str) -> DataFrame:
-    """The nine regressions, on series whose gaps carry the last price forward: a complete row needs 22 days without one."""
-    full = prices.grid(_series(spark, sf), PANEL_SYMBOLS)
-    last = Window.partitionBy("symbol").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    filled = full.select("date", "symbol", F.last("price", ignorenulls=True).over(last).alias("price"))
-    panel = prices.build_panel(_order_index(spark, sf), filled, PANEL_SYMBOLS, strict=False)
-    return rounded(regress.regressions(spark, cut_lineage(panel), ZSCORE))
+    """The nine regressions."""
+    return rounded(regress.regressions(spark, cut_lineage(_filled_panel(spark, sf)), ZSCORE))
 
 
 def ols_simple(spark: SparkSession, sf: str) -> DataFrame:
@@ -350,22 +352,47 @@ lead(price, {h}) over w - price as fwd_change_{h}d"""
     ]
 )
 _WINDOWS = f"window w as (partition by symbol order by date), p{VOL_WINDOW} as (partition by symbol order by date rows between {VOL_WINDOW - 1} preceding and current row), " + ", ".join(f"f{h} as (partition by symbol order by date rows between 1 following and {h} following)" for h in HORIZONS)
-_GRID = f"""series as (select strftime(l_shipdate, '%Y-%m-%d') as date, case l_returnflag when 'A' then 'SPY' when 'R' then 'QQQ' else '{VIX}' end as symbol, max(l_extendedprice) as price from lineitem group by all),
+_SERIES = f"""series as (select strftime(l_shipdate, '%Y-%m-%d') as date, case l_returnflag when 'A' then 'SPY' when 'R' then 'QQQ' else '{VIX}' end as symbol, max(l_extendedprice) as price from lineitem group by all)"""
+
+
+def _grid_sql(series: str, symbols: tuple[str, ...] = PANEL_SYMBOLS, filled: bool = False) -> str:
+    """`full_`: every symbol on every day of the relation `series`; `filled` carries the last price forward."""
+    price = "last_value(price ignore nulls) over (partition by symbol order by date)" if filled else "price"
+    return f"""{series},
 axis as (select date, row_number() over (order by date) - 1 as position from (select distinct date from series)),
-full_ as (select s.symbol, axis.date, position, price from axis cross join (values ('SPY'), ('QQQ'), ('{VIX}')) s(symbol) left join series using (date, symbol))"""
-_LONG = f"""{_GRID},
+gappy as (select s.symbol, axis.date, position, price from axis cross join (values {', '.join(f"('{x}')" for x in symbols)}) s(symbol) left join series using (date, symbol)),
+full_ as (select symbol, date, position, {price} as price from gappy)"""
+
+
+_GRID = _grid_sql(_SERIES)
+
+
+def _long_sql(grid: str) -> str:
+    """`long_`: the features of each symbol and day over `full_`."""
+    return f"""{grid},
 returns as (select *, ln(price / lag(price) over (partition by symbol order by date)) as r from full_),
 first_ as (select *, {_FEATURES} from returns {_WINDOWS}),
 long_ as (select *, lag(realized_vol_{VOL_WINDOW}d) over (partition by symbol order by date) as lag_realized_vol_{VOL_WINDOW}d from first_)"""
+
+
+_LONG = _long_sql(_GRID)
 _ORDERS = """o as (select strftime(o_orderdate, '%Y-%m-%d') as day, o_orderpriority from orders),
 u as (select day, '' as category from o where o_orderpriority = '1-URGENT')"""
-_WIDE_COLUMNS = ", ".join(
-    [f"max({f}) filter (where symbol = '{s}') as {prices.prefix_of(s)}_{f}" for s in PANEL_SYMBOLS if s in ETFS for f in prices.feature_names()]
-    + [f"max(price) filter (where symbol = '{VIX}') as vix_level"]
-    + [f"max(fwd_change_{h}d) filter (where symbol = '{VIX}') as vix_fwd_change_{h}d" for h in HORIZONS]
-)
-_WIDE_NAMES = [f"{prices.prefix_of(s)}_{f}" for s in PANEL_SYMBOLS if s in ETFS for f in prices.feature_names()] + ["vix_level", *(f"vix_fwd_change_{h}d" for h in HORIZONS)]
-_PANEL = f"""with {_LONG}, wide as (select date, {_WIDE_COLUMNS} from long_ group by date), {_ORDERS},
+
+
+def _wide_names(symbols: tuple[str, ...] = PANEL_SYMBOLS) -> list[str]:
+    return [f"{prices.prefix_of(s)}_{f}" for s in symbols if s in ETFS for f in prices.feature_names()] + ["vix_level", *(f"vix_fwd_change_{h}d" for h in HORIZONS)]
+
+
+def _wide_sql(symbols: tuple[str, ...] = PANEL_SYMBOLS) -> str:
+    """`wide`: one row per day of `long_`."""
+    columns = [f"max({f}) filter (where symbol = '{s}') as {prices.prefix_of(s)}_{f}" for s in symbols if s in ETFS for f in prices.feature_names()]
+    columns += [f"max(price) filter (where symbol = '{VIX}') as vix_level", *(f"max(fwd_change_{h}d) filter (where symbol = '{VIX}') as vix_fwd_change_{h}d" for h in HORIZONS)]
+    return f"wide as (select date, {', '.join(columns)} from long_ group by date)"
+
+
+_WIDE_NAMES = _wide_names()
+_PANEL = f"""with {_LONG}, {_wide_sql()}, {_ORDERS},
 ix as (select * from (with {_index_sql('o', 'u', 15)})), panel as (select * from ix left join wide using (date))"""
 
 
@@ -384,12 +411,20 @@ union all select date, symbol, problem from judged where problem is not null and
 
 
 _NUMBER = r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?"
-_PRICE_LINES = f"""cells as (select line_id, string_split(line, ',') as c from raw_price_lines),
-named as (select line_id, {_strip('c[1]')} as d, upper({_strip('c[2]')}) as s, {_strip('c[6]')} as close, {_strip('c[7]')} as adj from cells),
+_CELL = r',(?:"([^"]*(?:""[^"]*)*)(?:"([^,]*)|$)|([^,]*))'
+
+
+def _cell(k: int) -> str:
+    """A field of a CSV line, as a reader of quoted fields has it."""
+    return f"""case when c[{k}] like ',"%' then replace(regexp_extract(c[{k}], '{_CELL}', 1), '""', '"') || regexp_extract(c[{k}], '{_CELL}', 2) else c[{k}][2:] end"""
+
+
+_PRICE_LINES = f"""cells as (select line_id, regexp_extract_all(',' || line, '{_CELL}') as c from raw_price_lines),
+named as (select line_id, {_strip(_cell(1))} as d, upper({_strip(_cell(2))}) as s, {_strip(_cell(6))} as close, {_strip(_cell(7))} as adj from cells),
 symbols_ as (select line_id, {_day_of('d')} as date, case when s in ('VIX', '{VIX}') then '{VIX}' else s end as symbol, close, adj from named),
 texts as (select *, case when symbol in ({', '.join(repr(e) for e in ETFS)}) and adj != '' then adj else close end as text from symbols_),
-numbers as (select line_id, date, symbol, case when regexp_full_match(text, '{_NUMBER}') then try_cast(text as double) end as x from texts),
-lines_ as (select line_id, date, symbol, case when x > 0 and x < 'infinity'::double then x end as price from numbers)"""
+numbers_ as (select line_id, date, symbol, text, case when regexp_full_match(text, '{_NUMBER}') then try_cast(text as double) end as x from texts),
+lines_ as (select line_id, date, symbol, case when x > 0 and x < 'infinity'::double then x end as price from numbers_)"""
 _POSITIVE = f"{_strip('criticism_label')} = '1'"
 _SCORE = f"case when regexp_full_match({_strip('intensity_score')}, '{_NUMBER}') then try_cast({_strip('intensity_score')} as double) end"
 _TERMS = [normalise_here(t) for t in CRITICISM_TERMS]
