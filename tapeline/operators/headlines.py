@@ -7,12 +7,12 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeline.functions import dates
 from tapeline.functions.text import domain_key, normalise_text, strip
+from tapeline.session import cut_lineage
 
 ENGLISH = ("english", "eng", "en")
 ARTICLE = "title string, url string, url_mobile string, domain string, source string, sourceName string, seendate string, language string"
@@ -97,7 +97,7 @@ def calendar_map(calendar: DataFrame, column: str = "date") -> DataFrame:
 
 
 def _mapped(rows: DataFrame, calendar: DataFrame) -> DataFrame:
-    days = calendar_map(calendar).withColumnRenamed("target", "_target").withColumnRenamed("trading_day", "_trading_day").persist(StorageLevel.MEMORY_AND_DISK)
+    days = calendar_map(calendar).withColumnRenamed("target", "_target").withColumnRenamed("trading_day", "_trading_day")
     small = days.limit(MAX_CALENDAR + 1).count() <= MAX_CALENDAR
     return rows.join(F.broadcast(days) if small else days, "_target", "left")
 
@@ -161,7 +161,7 @@ def dedupe_fuzzy(cleaned: DataFrame, order: str, threshold: float = 0.96, domain
         raise ValueError("threshold must be between 0 and 1")
     exact = dedupe_exact(cleaned, order, domain).withColumn("_day", dedupe_day(cleaned.columns)).withColumn("_domain", domain_key(F.col(domain)))
     keys = ["_day", "_domain"]
-    slim = exact.select(*keys, F.col(order).alias("_o"), "normalised_title").persist(StorageLevel.MEMORY_AND_DISK)
+    slim = cut_lineage(exact.select(*keys, F.col(order).alias("_o"), "normalised_title"))
     several = slim.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
     runs = slim.join(several, keys, "left_semi").repartition(*keys).sortWithinPartitions(*keys, "_o")
     removed = runs.mapInPandas(_near_earlier(threshold), f"_o {slim.schema['_o'].dataType.simpleString()}")

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeline.config import ALL_MARKET, CANDIDATE, CATEGORIES, CRITICISM_TERMS, END_DATE, ETFS, HORIZONS, START_DATE, VIX, VOL_WINDOW
 from tapeline.functions import dates
 from tapeline.functions.text import contains_any, normalise_here, normalise_text
-from tapeline.io import table
+from tapeline.io import table, under
 from tapeline.operators import annotate, headlines, index, prices
 from tapeline.plans import events, regress
-from tapeline.session import cut_lineage
+from tapeline.session import checkpoint_dir, cut_lineage
 from tapeline.sources import news
 from tapeline.streaming import daily
 
@@ -240,10 +242,10 @@ def archive_match(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def streaming_daily(spark: SparkSession, sf: str) -> DataFrame:
-    counts = daily.daily_counts(daily.stream_table(spark, sf, "events"), "ts", late="10000 days")
-    name = f"tapeline_daily_{abs(hash(sf)) % 10**9}"
-    daily.run_available(counts, name, "").awaitTermination()
-    return spark.table(name).select(F.col("day").cast("string").alias("day"), "n")
+    counts = daily.daily_counts(daily.stream_table(spark, sf, "events"), "ts")
+    folder = under(checkpoint_dir(spark), f"daily-{uuid.uuid4().hex}")
+    daily.run_available(counts, under(folder, "counts"), under(folder, "state")).awaitTermination()
+    return spark.read.schema("day date, n long").parquet(under(folder, "counts")).select(F.col("day").cast("string").alias("day"), "n")
 
 
 QUERIES = {

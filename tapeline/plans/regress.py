@@ -101,7 +101,7 @@ def _meats(rows: DataFrame, models: Sequence[Model], betas: Sequence[np.ndarray]
                 total[i] += u.T @ u
                 for lag in range(1, m.maxlags + 1):
                     first = max(len(tail[i]), lag)
-                    gamma = joined[first:].T @ joined[first - lag : len(joined) - lag]
+                    gamma = joined[first:].T @ joined[first - lag : max(first, len(joined)) - lag]  # none in a batch shorter than the lag
                     total[i] += (1 - lag / (m.maxlags + 1)) * (gamma + gamma.T)
                 tail[i] = joined[max(0, len(joined) - m.maxlags) :] if m.maxlags else tail[i]
         yield pd.DataFrame({"model": range(len(models)), "m": [t.ravel().tolist() for t in total]})

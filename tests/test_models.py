@@ -82,3 +82,17 @@ def test_report(spark, tmp_path):
     assert report.markdown_table(df).splitlines()[2] == "| m | 1 | const | 0.123457 |  |  | 5 | 0 |"
     report.write_markdown(df, str(tmp_path / "x" / "t.md"))
     assert report.WARNING in (tmp_path / "x" / "t.md").read_text()
+
+
+def test_lags_longer_than_the_data(spark):
+    """Fewer complete rows than lags: the lags that there are count."""
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(size=6), rng.normal(size=6)
+    df = spark.createDataFrame([(f"2024-01-0{i + 1}", float(y[i]), float(x[i])) for i in range(6)], "date string, y double, a double")
+    f = regress.fit(df, "y", ["a"], 20)
+    design = np.column_stack([np.ones(6), x])
+    bread = np.linalg.inv(design.T @ design)
+    beta = bread @ design.T @ y
+    u = design * (y - design @ beta)[:, None]
+    meat = u.T @ u + sum((1 - k / 21) * (u[k:].T @ u[: 6 - k] + u[: 6 - k].T @ u[k:]) for k in range(1, 6))
+    assert f["coefficient"] == pytest.approx(beta) and f["std_error"] == pytest.approx(np.sqrt(np.diag(bread @ meat @ bread)))

@@ -52,10 +52,23 @@ def test_entry(spark):
 
 
 def test_streaming(spark, tmp_path):
+    """A second call takes in only what has come since, late days included."""
     from tapeline.streaming import daily
 
-    counts = daily.daily_counts(spark.readStream.format("rate").load().selectExpr("timestamp as ts", "value"), "ts", by="value")
-    assert counts.columns == ["day", "value", "n"]
+    def arrive(name, rows):
+        spark.createDataFrame(rows, "ts timestamp_ntz, kind string").coalesce(1).write.parquet(str(tmp_path / "t.parquet" / name))
+
+    import datetime as dt
+
+    at = lambda d: dt.datetime(2024, 1, d, 12)
+    arrive("a", [(at(1), "x"), (at(1), "y"), (at(5), "x")])
+    schema = "ts timestamp_ntz, kind string"
+    stream = lambda: daily.daily_counts(spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(str(tmp_path / "t.parquet")), "ts")
+    run = lambda: daily.run_available(stream(), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    run()
+    arrive("b", [(at(1), "late"), (at(9), "x")])
+    run()
+    assert {(str(r.day), r.n) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("2024-01-01", 3), ("2024-01-05", 1), ("2024-01-09", 1)}
 
 
 def test_core_does_not_import_llm():
