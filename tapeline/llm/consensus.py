@@ -189,13 +189,18 @@ def pass_by_joins(edges: DataFrame, rounds: int = MAX_ROUNDS, tolerance: float =
     return state.groupBy("cls", "item").agg(F.sum("weight").alias("log_odds"))
 
 
+def label_rows(labels: DataFrame) -> DataFrame:
+    """(item, annotator, said, category, intensity_score) of the one row of each (item, annotator); said is null where it is not usable."""
+    return one_each(labels).select("item", "annotator", binary(F.col("criticism_label")).alias("said"), category(F.col("category_label")).alias("category"), F.col("intensity_score"))
+
+
 def consensus(labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(items, usable labels) of label rows with criticism_label and category_label.
 
     items: item, yes, no (usable labels), truth (0 or 1), log_odds, category, category_log_odds. Ties are 0 in truth
     and the first by name in category. An item whose truth is 1 but that has no usable category keeps a null one.
     """
-    usable = cut_lineage(one_each(labels).select("item", "annotator", binary(F.col("criticism_label")).alias("said"), category(F.col("category_label")).alias("category"), F.col("intensity_score")).filter("said is not null"))
+    usable = cut_lineage(label_rows(labels).filter("said is not null"))
     truth = pass_messages(usable.select(F.lit("criticism").alias("cls"), "item", "annotator", "said"))
     counts = usable.groupBy("item").agg(F.sum("said").alias("yes"), F.sum(1 - F.col("said")).alias("no"))
     items = cut_lineage(counts.join(truth.drop("cls"), "item").withColumn("truth", (F.col("log_odds") > 0).cast("int")))
@@ -220,7 +225,10 @@ def answers(items: DataFrame, annotators: DataFrame) -> DataFrame:
 
 
 def agreement(usable: DataFrame) -> DataFrame:
-    """(field, items, pairs, observed, alpha): pairwise agreement and Krippendorff's nominal alpha of each field."""
+    """(field, items, pairs, observed, alpha): pairwise agreement and Krippendorff's nominal alpha of each field.
+
+    `usable` are rows of label_rows(); each field counts where it is usable itself, whatever the others hold.
+    """
     score = intensity_value(F.col("intensity_score"))
     long = usable.select("item", F.explode(F.array(
         F.struct(F.lit("criticism_label").alias("field"), F.col("said").cast("string").alias("value")),

@@ -99,7 +99,8 @@ def p7_annotators(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p7_agreement(spark: SparkSession, sf: str) -> DataFrame:
-    return consensus.agreement(consensus.consensus(table(spark, sf, "annotation_labels"))[1])
+    found = consensus.agreement(consensus.label_rows(table(spark, sf, "annotation_labels")))
+    return found.select("field", "items", "pairs", F.round("observed", 6).alias("observed"), F.round("alpha", 6).alias("alpha"))
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -147,6 +148,8 @@ _FILLED = " and ".join(rf"regexp_matches({f}, '[^\s\p{{Z}}\x1c-\x1f\x{{85}}]')"
 _RECORDS = f"with cases as ({_CASES}), keyed as (select table_name, id, {_KEYS} from cases where {_FILLED}), firsts as (select *, min(id) over (partition by table_name, k0, k1, k2) as first_id from keyed)"
 _CATEGORY = lambda c: rf"coalesce(regexp_replace(regexp_replace(lower({c}), '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g'), '[-\s\p{{Z}}]', '_', 'g'), '')"
 
+_OUTER = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
+
 #: The SQL of what SQL can say; the other queries are tested against brute force, round trips or held-out rows.
 SQL = {
     "p1_found": f"{_RECORDS} select table_name, first_id, id as copy_id from firsts where id != first_id",
@@ -155,6 +158,14 @@ SQL = {
 n as (select count(distinct pool_id) as n from units), have as (select a, b, count(*) as available from units group by a, b),
 need as (select *, {_CATEGORY('sample_stratum')} as a, {_CATEGORY('query_type')} as b, draw_pct * n // 100 as size from sample_targets, n)
 select distinct target_set, sample_stratum, query_type from need left join have using (a, b) where coalesce(available, 0) < greatest(min_rows, (target_pct * size + 99) // 100)""",
+    "p7_agreement": rf"""with one as (select * from annotation_labels where id is not null and annotator is not null and label_id is not null qualify row_number() over (partition by id, annotator order by label_id) = 1),
+clean as (select id as item, regexp_replace(criticism_label, '{_OUTER}', '', 'g') as said, {_CATEGORY('category_label')} as category, try_cast(replace(regexp_replace(intensity_score, '{_OUTER}', '', 'g'), ',', '.') as double) as score from one),
+v as (select 'criticism_label' as field, item, said as value from clean where said in ('0', '1') union all select 'category_label', item, category from clean where category in {consensus.CATEGORIES}
+ union all select 'intensity_score', item, cast(score as varchar) from clean where score between 0 and 3),
+c as (select field, item, value, count(*) as c from v group by all), i as (select field, item, sum(c) as n, sum(c * (c - 1)) as same from c group by all having sum(c) > 1),
+p as (select field, value, sum(c) as c from c semi join i using (field, item) group by all), e as (select field, sum(c) as total, sum(c * (c - 1)) as alike from p group by field),
+o as (select field, count(*) as items, cast(sum(n * (n - 1)) / 2 as bigint) as pairs, sum(same) / sum(n * (n - 1)) as observed, sum(same / (n - 1)) as o from i group by field)
+select field, items, pairs, round(observed, 6) as observed, round(case when alike < total * (total - 1) then (o / total - alike / (total * (total - 1))) / (1 - alike / (total * (total - 1))) end, 6) as alpha from o join e using (field)""",
     # free categories are k * target_pct, between minimum and what there is; k lies between two of the values where a category meets a bound
     "p2_plan": f"""with units as (select distinct pool_id, {_CATEGORY('sample_stratum')} as a, {_CATEGORY('query_type')} as b from annotation_pool where pool_id is not null),
 n as (select count(distinct pool_id) as n from units), have as (select a, b, count(*) as available from units group by a, b),

@@ -46,6 +46,9 @@ def test_agreement(spark):
     got = {r.field: r for r in consensus.agreement(usable).collect()}
     assert got["criticism_label"].observed == 1 and got["criticism_label"].alpha == pytest.approx(1) and got["criticism_label"].pairs == 2
     assert got["category_label"].alpha is None
+    # a row without a usable criticism label still counts for its category
+    both = consensus.agreement(consensus.label_rows(spark.createDataFrame([(1, "x", "a", None, "valuation", " 1,0"), (2, "x", "b", "?", "concentration", "1")], SCHEMA)))
+    assert {r.field: (r.pairs, r.observed) for r in both.collect()} == {"category_label": (1, 0.0), "intensity_score": (1, 1.0)}
 
 
 def test_empty(spark):
